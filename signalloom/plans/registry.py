@@ -73,7 +73,7 @@ DEG = "deg AS (SELECT v, count(*) FILTER (WHERE weight > 0) AS dp, count(*) FILT
 #: Runs and traces made of events: run = user, config = event type, runtime = ms since the month began.
 RUNS = """WITH trace AS (SELECT user_id AS run, event_type AS config, event_id AS id, value AS best,
     CAST({ms} AS BIGINT) AS runtime FROM events) """
-MS = {"spark": "unix_millis(ts) - 1704067200000", "duck": "epoch_ms(ts) - 1704067200000"}
+MS = {"spark": "unix_millis(CAST(ts AS TIMESTAMP)) - 1704067200000", "duck": "epoch_ms(ts) - 1704067200000"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
