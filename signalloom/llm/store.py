@@ -123,7 +123,7 @@ def write_store(
     # Merkle manifest: a root for each range of the stream, then one over those.
     recipes = docs.sparkSession.read.parquet(f"{store}/recipes").withColumn("_range", F.floor(F.col("start") / 5_000_000))
 
-    def range_root(key, group: pd.DataFrame) -> pd.DataFrame:
+    def range_root(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
         return pd.DataFrame({"_range": [int(key[0])], "documents": [len(group)], "tokens": [int(group["n_tokens"].sum())], "root": [merkle_root(list(group["root"]))]})
 
