@@ -116,17 +116,21 @@ def write_json(row: DataFrame, path: str) -> None:
     row.select("json").coalesce(1).write.text(path)
 
 
+def _write_lines(edges: DataFrame, path: str, head: str, separator: str) -> None:
+    """A first line, then source, target and sign of each edge, in order."""
+    top = edges.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(head).alias("value"))
+    body = edges.select(F.lit(1).alias("o"), F.col("source").alias("a"), F.col("target").alias("b"), F.concat_ws(separator, "source", "target", F.signum("weight").cast("int")).alias("value"))
+    top.union(body).coalesce(1).sortWithinPartitions("o", "a", "b").select("value").write.text(path)
+
+
 def write_multicut(edges: DataFrame, path: str) -> None:
     """Text edge list behind a MULTICUT line."""
-    head = edges.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit("MULTICUT").alias("value"))
-    body = edges.select(F.lit(1).alias("o"), F.concat_ws(" ", "source", "target", F.signum("weight").cast("int")).alias("value"))
-    head.union(body).orderBy("o", "value").select("value").coalesce(1).write.text(path)
+    _write_lines(edges, path, "MULTICUT", " ")
 
 
 def write_tsv(edges: DataFrame, path: str) -> None:
     """Tab-separated signs behind a commented header."""
-    rows = edges.select(F.col("source").alias("# FromNodeId"), F.col("target").alias("ToNodeId"), F.signum("weight").cast("int").alias("Sign"))
-    rows.write.csv(path, sep="\t", header=True)
+    _write_lines(edges, path, "# FromNodeId\tToNodeId\tSign", "\t")
 
 
 def anonymise(votes: DataFrame, name: str = "person", drop: tuple[str, ...] = ("Name", "Vorname", "Bezeichnung")) -> DataFrame:
