@@ -26,6 +26,18 @@ def encoder(path: str) -> "CachedEncoder":
     return CachedEncoder(path)
 
 
+class _Units(dict):
+    """Ids of units, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self[unit] = self.encode(unit)
+        return got
+
+
 class CachedEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,35 +46,48 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.normalizer, self.pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: How the pre-tokenizer names a space before a word; None if it drops white space.
+        self.space = None if self.normalizer is not None else self.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+        self.units, self.pieces, self.letters = _Units(self._encode), _Units(self._piece), _Units(self._letter)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
-            if len(self.pieces) < MAX_CACHED:
-                self.pieces[piece] = got
-        return got
+        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
+
+    def _plain(self, word: str, spaced: bool) -> bytes:
+        """Latin letters: one pre-token, which needs no splitting."""
+        if self.space is None:
+            return self.pieces["".join(map(self.letters.__getitem__, word))]
+        body = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return self.pieces[self.space + body if spaced else body]
+
+    def _letter(self, c: str) -> str:
+        """What the library makes of one letter."""
+        if self.normalizer is not None:
+            c = self.normalizer.normalize_str(c)
+        return self.pre_tokenizer.pre_tokenize_str(c)[0][0]
 
     def _encode(self, unit: str) -> bytes:
         """The library's own steps: normalizer, pre-tokenizer, model; all at once if special tokens may occur."""
+        if max(unit) < "\u0100":
+            spaced = unit[0] == " "
+            word = unit[1:] if spaced else unit
+            if word.isalpha():
+                return self._plain(word, spaced)
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self._plain(word[:-1], spaced) + self.pieces[word[-1]]
         if any(s in unit for s in self.special):
             return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u2").tobytes()
         if self.normalizer is not None:
             unit = self.normalizer.normalize_str(unit)
-        return b"".join([self._piece(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(unit)])
+        return b"".join([self.pieces[p] for p, _ in self.pre_tokenizer.pre_tokenize_str(unit)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text (None: of the empty one) as little-endian unsigned 16-bit integers."""
-        units = _UNIT.findall(text or "")
-        known = self.units
-        for unit in {*units}.difference(known):
-            known[unit] = self._encode(unit)
-        out = b"".join([known[unit] for unit in units])
-        if len(known) > MAX_CACHED:
-            for unit in list(known)[MAX_CACHED // 2 :]:
-                del known[unit]
+        out = b"".join(map(self.units.__getitem__, _UNIT.findall(text or "")))
+        for cache in (self.units, self.pieces):
+            if len(cache) > MAX_CACHED:
+                for key in list(cache)[MAX_CACHED // 2 :]:
+                    del cache[key]
         return out
 
 
