@@ -68,9 +68,10 @@ class ShardIndex:
 
     def best_unused(self, seed: int, used: np.ndarray) -> int:
         """The unused document with the highest score for the seed's query (the first one if none scores)."""
-        spans = [(self.first[t], self.first[int(t) + 1]) for t in self.queries[seed]]
-        at = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, int)
-        score = np.bincount(self.owner[at], self.weight[at], minlength=len(used))
+        query = self.queries[seed]
+        spans = list(zip(self.first[query].tolist(), self.first[query.astype(np.int64) + 1].tolist()))
+        owner, weight = np.concatenate([self.owner[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans])
+        score = np.bincount(owner, weight, minlength=len(used))
         score[used] = -1.0
         return int(score.argmax())
 
