@@ -99,7 +99,7 @@ def fit(
 
 def training_rows(docs: DataFrame, per_lang: int, max_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """A bounded, seeded sample: ``per_lang`` labelled texts of each of at most 64 languages,
-    those with the smallest hashes among the ones of at most ``max_chars`` characters."""
+    those distinct ones with the smallest hashes among the ones of at most ``max_chars`` characters."""
     known = docs.where(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2)
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -107,8 +107,10 @@ def training_rows(docs: DataFrame, per_lang: int, max_chars: int, id_col: str, t
     langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
     out = []
     for lang in langs:
-        best = known.where(F.col("lang") == lang).orderBy("h", "text").limit(per_lang)
-        out += [(r["text"], r["lang"]) for r in best.collect()]
+        own = known.where(F.col("lang") == lang)
+        lowest = own.select("h").distinct().orderBy("h").limit(per_lang).collect()  # hashes only: few bytes from each task
+        best = own.where(F.col("h") <= lowest[-1]["h"]).groupBy("h").agg(F.min("text").alias("text")) if lowest else own
+        out += [(r["text"], lang) for r in sorted(best.collect(), key=lambda r: r["h"])]
     return out
 
 
