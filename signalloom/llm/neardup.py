@@ -4,20 +4,23 @@
    form a class, represented once.
 2. The k smallest hashes of a class are its sketch.  Inverted lists are kept on runs of retained
    values (see RUN), so that a passage shared by many documents makes no long list.
-3. Lists never emit all their pairs: members meet their list's leader, links are verified, and
-   lists that lie in one component are done.  After LEADER_ROUNDS only lists that still span
-   components emit their pairs across components, cut by set size.
+3. Lists never emit all their pairs: members meet their list's leader (the most central member
+   first), links are verified, and lists that lie in one component are done.  After these
+   rounds only lists that still span components compare members across components, and emit the pairs
+   that set sizes and parity bitmaps allow: an exact bound, so no link is lost.
 4. A pair is kept if the union sketch's estimate allows it, and is a link if the full sets say so.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,9 +34,12 @@ K = 64
 RUN = 4
 #: Sets up to this size are keyed by runs of 2 as well, which makes the key exact for them.
 SMALL, SMALL_RUN = 20, 2
-LEADER_ROUNDS = 3
 #: Estimates this far below the threshold still go to exact verification (4.5 standard errors).
 SLACK = 0.2
+#: Words of a set's parity bitmap.  Two bitmaps differ in at most as many bits as the sets have
+#: elements in which they differ, so their distance bounds the intersection from above.
+BITMAP_WORDS = 8
+_BITS = [f"w{i}" for i in range(BITMAP_WORDS)]
 _SEGMENT = 1 << 20
 
 _RNG = np.random.default_rng(20240517)
@@ -105,6 +111,12 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS longs; a bit says whether an odd number of the set's elements fall on it."""
+    odd = np.bincount((shingles % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     """Keys of the inverted lists of a sketch (its retained values, ascending)."""
     out = []
@@ -162,7 +174,8 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_set(t) for t in batch.column(1).slice(a, 256).to_pylist()]
             nodes = batch.column(0).slice(a, 256)
             own = pa.array([node_of(s) == x for s, x in zip(sets, nodes.to_pylist())], pa.bool_())  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"]).filter(own)
+            bits = np.stack([parity_bitmap(s) for s in sets], axis=1) if sets else np.zeros((BITMAP_WORDS, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, bits)], names=["node", "set", *_BITS]).filter(own)
 
 
 def _estimate_batches(percent: int):
@@ -203,12 +216,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = materialize(classes.select("node", F.col("c.doc_id").alias("doc_id"), F.col("c.n").alias("n"), F.col("c.sketch").alias("sketch")), "dup-classes")
 
     entries = classes.select("node", "n", "sketch").mapInArrow(_entry_batches, "key long, node long, n long")
-    lists = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    entries = materialize(entries.join(lists, "key"), "dup-lists")
+    lists = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # A node that shares long lists is central: near copies of one text all meet that text.
+    entries = entries.join(lists, "key").withColumn("central", F.sum("c").over(Window.partitionBy("node"))).drop("c")
+    entries = materialize(entries, "dup-lists")
     # Full sets of the classes that share a list with another, made from their texts again.
     involved = entries.select("node").distinct().join(classes.select("node", "doc_id"), "node")
     texts = involved.join(data, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(_set_batches, "node long, set binary")
+    sets = texts.mapInArrow(_set_batches, "node long, set binary, " + ", ".join(f"{w} long" for w in _BITS))
     sets = materialize(sets.dropDuplicates(["node"]), "dup-sets")
     sketches = classes.select("node", "sketch")
 
@@ -244,9 +259,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         heads = placed.groupBy("key").agg(leader.alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         return heads.where("lo <> hi").select("key", "head")
 
-    leaders = [F.min(F.struct("node", "comp")), F.max(F.struct("node", "comp"))]
-    for r in range(LEADER_ROUNDS):
-        leader = leaders[r] if r < len(leaders) else F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "comp"))
+    leaders = [F.max(F.struct("central", "node", "comp")), F.max(F.struct("node", "comp"))]
+    for leader in leaders:
         placed = located(entries)
         if comps is not None:
             placed = materialize(placed, "dup-placed")
@@ -259,13 +273,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     placed = materialize(located(entries), "dup-placed")
     unresolved = placed.join(open_lists(placed, F.min("node")).select("key"), "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    left = unresolved.withColumn("band", F.explode(F.array(band, band + 1)))
-    left = materialize(left, "dup-left")
-    right = left.select("key", "band", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    cross = left.withColumnRenamed("node", "a").join(right, ["key", "band"]).where(
-        (F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-    )
-    links = verified(cross.select("a", "b").distinct())
+    left = unresolved.select("key", "node", "comp", "n").join(sets.select("node", *_BITS), "node")
+    left = materialize(left.withColumn("band", F.explode(F.array(band, band + 1))), "dup-left")
+    right = left.select("key", "band", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", *_BITS)))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in _BITS))
+    most_common = F.least(F.col("n"), F.col("n_b"), F.call_function("shiftright", F.col("n") + F.col("n_b") - apart, F.lit(1)))
+    cross = left.join(right, ["key", "band"]).where(
+        (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & (most_common * 100 >= (F.col("n") + F.col("n_b") - most_common) * percent)
+    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    links = verified(cross.distinct())
     if not links.isEmpty():
         absorb(links)
 
