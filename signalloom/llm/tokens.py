@@ -1,7 +1,8 @@
 """Exact, cached encoding with the ``tokenizers`` library.
 
 Both tokenizer files cut a text at white space before anything else, so a text's ids are those of
-its units (a run of white space and the run of other characters after it) one after the other.
+its units (a run of white space and the run of other characters after it) one after the other.  A
+unit that is one word of Latin letters and a full stop or comma is two units: both files cut there.
 Units repeat, so each worker encodes a unit once and keeps its ids, up to MAX_CACHED units;
 beyond that units are encoded again when they return.  Results are the library's own, for the
 whole text.
@@ -10,14 +11,16 @@ whole text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 MAX_CACHED = 600_000
 #: Unicode white space, as both files' patterns have it.
 SPACE = "\t-\r \x85\xa0  -     　"
-_UNIT = re.compile(f"[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_UNIT = re.compile(f" ?[{_LETTERS}]++(?=[.,]?(?:[{SPACE}]|\\Z))|[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
+_PLAIN = re.compile(f" ?[{_LETTERS}]+")
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +41,13 @@ class _Units(dict):
         return got
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class CachedEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,46 +58,40 @@ class CachedEncoder:
         self.normalizer, self.pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         #: How the pre-tokenizer names a space before a word; None if it drops white space.
         self.space = None if self.normalizer is not None else self.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
-        self.units, self.pieces, self.letters = _Units(self._encode), _Units(self._piece), _Units(self._letter)
+        self.units = _Units(self._encode)
+        #: What the library makes of one Latin letter.
+        self.letters = {i: self._letter(chr(i)) for i in range(256) if _PLAIN.fullmatch(chr(i)) and chr(i) != " "}
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
+        return _little_endian([t.id for t in self.model.tokenize(piece)])
 
-    def _plain(self, word: str, spaced: bool) -> bytes:
-        """Latin letters: one pre-token, which needs no splitting."""
-        if self.space is None:
-            return self.pieces["".join(map(self.letters.__getitem__, word))]
-        body = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
-        return self.pieces[self.space + body if spaced else body]
+    def _plain(self, unit: str) -> bytes:
+        """A word of Latin letters: one pre-token, which needs no splitting."""
+        word = unit.lstrip(" ")
+        body = word.translate(self.letters)
+        return self._piece(self.space + body if self.space and len(word) < len(unit) else body)
 
     def _letter(self, c: str) -> str:
-        """What the library makes of one letter."""
         if self.normalizer is not None:
             c = self.normalizer.normalize_str(c)
         return self.pre_tokenizer.pre_tokenize_str(c)[0][0]
 
     def _encode(self, unit: str) -> bytes:
         """The library's own steps: normalizer, pre-tokenizer, model; all at once if special tokens may occur."""
-        if max(unit) < "\u0100":
-            spaced = unit[0] == " "
-            word = unit[1:] if spaced else unit
-            if word.isalpha():
-                return self._plain(word, spaced)
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self._plain(word[:-1], spaced) + self.pieces[word[-1]]
+        if _PLAIN.fullmatch(unit):
+            return self._plain(unit)
         if any(s in unit for s in self.special):
-            return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u2").tobytes()
+            return _little_endian(self.tokenizer.encode(unit, add_special_tokens=False).ids)
         if self.normalizer is not None:
             unit = self.normalizer.normalize_str(unit)
-        return b"".join([self.pieces[p] for p, _ in self.pre_tokenizer.pre_tokenize_str(unit)])
+        return b"".join([self._piece(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(unit)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text (None: of the empty one) as little-endian unsigned 16-bit integers."""
         out = b"".join(map(self.units.__getitem__, _UNIT.findall(text or "")))
-        for cache in (self.units, self.pieces):
-            if len(cache) > MAX_CACHED:
-                for key in list(cache)[MAX_CACHED // 2 :]:
-                    del cache[key]
+        if len(self.units) > MAX_CACHED:
+            for key in list(self.units)[MAX_CACHED // 2 :]:
+                del self.units[key]
         return out
 
 
