@@ -40,10 +40,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(1 << 16, np.int64)
+    df, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     for batch in batches:
         for ids in batch.column(0).to_pylist():
-            df[np.unique(np.frombuffer(ids, "<u2"))] += 1
+            terms = np.frombuffer(ids, "<u2")
+            at = np.arange(len(terms))
+            last[terms] = at
+            df[terms[last[terms] == at]] += 1  # one occurrence of each term
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["term", "df"])
 

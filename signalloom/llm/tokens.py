@@ -59,17 +59,19 @@ class CachedEncoder:
         #: How the pre-tokenizer names a space before a word; None if it drops white space.
         self.space = None if self.normalizer is not None else self.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
         self.units = _Units(self._encode)
-        #: What the library makes of one Latin letter.
-        self.letters = {i: self._letter(chr(i)) for i in range(256) if _PLAIN.fullmatch(chr(i)) and chr(i) != " "}
+        #: What the library makes of one Latin letter, and of a space before them.
+        self.letters = {i: self._letter(chr(i)) for i in range(256) if chr(i) != " " and _PLAIN.fullmatch(chr(i))}
+        self.letters[ord(" ")] = self.space
+        #: ASCII words only need the space replaced.
+        self.same = self.space is not None and all(self.letters[i] == chr(i) for i in self.letters if i < 128 and i != ord(" "))
 
     def _piece(self, piece: str) -> bytes:
         return _little_endian([t.id for t in self.model.tokenize(piece)])
 
     def _plain(self, unit: str) -> bytes:
         """A word of Latin letters: one pre-token, which needs no splitting."""
-        word = unit.lstrip(" ")
-        body = word.translate(self.letters)
-        return self._piece(self.space + body if self.space and len(word) < len(unit) else body)
+        body = unit.replace(" ", self.space) if self.same and unit.isascii() else unit.translate(self.letters)
+        return self._piece(body)
 
     def _letter(self, c: str) -> str:
         if self.normalizer is not None:
