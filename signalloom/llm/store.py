@@ -35,9 +35,10 @@ _GEAR = np.random.default_rng(8).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream, by content; chunks have MIN_CHUNK..MAX_CHUNK ids but the last."""
     n = len(ids)
-    gear, h = _GEAR[ids], np.zeros(n, np.uint64)
-    for j in range(min(ROLL, n)):
-        h[j:] += gear[: n - j] << np.uint64(j)
+    h, span = _GEAR[ids], 1
+    while span < min(ROLL, n):  # sums over the last 1, 2, 4, .. ids
+        h[span:] += h[:-span] << np.uint64(span)
+        span *= 2
     marks = np.flatnonzero((h >> np.uint64(ROLL - 1)) & MASK == 0) + 1
     ends, at = [], 0
     while n - at > MIN_CHUNK:
