@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import long_array, materialize, range_bucket, range_splitters, scratch_path
-from .tokens import crc32_combine, encoder
+from .tokens import crc32_joined, encoder
 
 END_ID = 2
 #: A cut follows an id where the low bits of the rolling hash of the last ROLL ids are all zero.
@@ -154,14 +154,19 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, sizes, good = [], [], []
-            for parts, root, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                crc, size = 0, 0
-                for p in parts or []:
-                    crc, size = crc32_combine(crc, p["crc"], 4 * p["n"]), size + p["n"]
-                crcs.append(crc)
-                sizes.append(size)
-                good.append(size == n and all(p["good"] for p in parts or []) and merkle_root([p["digest"] for p in parts or []]) == root)
+            lists, roots, wanted = batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, parts, some = np.cumsum(counts), lists.flatten(), counts > 0
+            first = (ends - counts)[some]
+            crcs, sizes, good = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64), np.zeros(len(counts), bool)
+            if len(first):
+                n, crc, sound = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("n", "crc", "good"))
+                crcs[some] = crc32_joined(crc, 4 * n, first)
+                sizes[some] = np.add.reduceat(n, first)
+                good[some] = np.logical_and.reduceat(sound, first)
+                names = parts.field("digest").to_pylist()
+                good &= [merkle_root(names[e - c : e]) == root for e, c, root in zip(ends.tolist(), counts.tolist(), roots)]
+            good &= sizes == wanted
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     rows = recipes.select("doc_id", "start", "root", "n_tokens").join(whole, "start", "left").select("doc_id", "start", "parts", "root", "n_tokens")

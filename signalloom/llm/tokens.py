@@ -15,6 +15,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 MAX_CACHED = 600_000
 #: Unicode white space, as both files' patterns have it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -131,3 +133,26 @@ def _shifted(crc: int, length: int) -> int:
         bits >>= 1
         k += 1
     return crc
+
+
+@lru_cache(maxsize=64)
+def _zeros_by_byte(k: int) -> np.ndarray:
+    """What 2**k zero bits make of each value of each of a crc32's four bytes."""
+    return np.array([[_times(_zeros(k), v << (8 * byte)) for v in range(256)] for byte in range(4)], np.uint32)
+
+
+def crc32_joined(crcs: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """crc32 of many byte strings, each given by its pieces' crc32 and lengths, laid end to end.
+
+    ``first``: where each string's pieces begin, ascending; each string has a piece, each piece a byte.
+    """
+    ends = np.cumsum(lengths)
+    last = np.repeat(ends[np.append(first[1:], len(crcs)) - 1], np.diff(np.append(first, len(crcs))))
+    bits, out, k = (last - ends) * 8, crcs.astype(np.uint32), 0
+    while (bits >> k).any():
+        at = np.flatnonzero((bits >> k) & 1)
+        if len(at):
+            v, table = out[at], _zeros_by_byte(k)
+            out[at] = table[0][v & 255] ^ table[1][(v >> 8) & 255] ^ table[2][(v >> 16) & 255] ^ table[3][v >> 24]
+        k += 1
+    return np.bitwise_xor.reduceat(out, first)

@@ -46,6 +46,14 @@ def test_crc_combination():
     assert tokens.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_joined_crcs_of_many_strings():
+    pieces = [[RNG.randbytes(RNG.randint(1, 9000)) for _ in range(n)] for n in (1, 5, 2, 1, 40)]
+    flat = [p for own in pieces for p in own]
+    crcs, sizes = np.array([zlib.crc32(p) for p in flat], np.int64), np.array([len(p) for p in flat])
+    first = np.cumsum([0, *map(len, pieces[:-1])])
+    assert tokens.crc32_joined(crcs, sizes, first).tolist() == [zlib.crc32(b"".join(own)) for own in pieces]
+
+
 def test_token_counts(docs, empty):
     from tokenizers import models
 
