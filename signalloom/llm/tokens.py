@@ -2,7 +2,8 @@
 
 Both tokenizer files cut a text at white space before anything else, so a text's ids are those of
 its units (a run of white space and the run of other characters after it) one after the other.  A
-unit that is one word of Latin letters and a full stop or comma is two units: both files cut there.
+word of Latin letters, the marks after it and a line feed before it are units of their own: both
+files cut there.
 Units repeat, so each worker encodes a unit once and keeps its ids, up to MAX_CACHED units;
 beyond that units are encoded again when they return.  Results are the library's own, for the
 whole text.
@@ -21,7 +22,9 @@ MAX_CACHED = 600_000
 #: Unicode white space, as both files' patterns have it.
 SPACE = "\t-\r \x85\xa0  -     　"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_UNIT = re.compile(f" ?[{_LETTERS}]++(?=[.,]?(?:[{SPACE}]|\\Z))|[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
+#: Marks both files cut from a word before them, and keep together.
+_MARKS = "[.,!?;:#$%&*]*"
+_UNIT = re.compile(f" ?[{_LETTERS}]++(?={_MARKS}(?:[{SPACE}]|\\Z))|\n(?=[{_LETTERS}])|[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
 
 
@@ -55,7 +58,6 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.normalizer, self.pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         #: How the pre-tokenizer names a space before a word; None if it drops white space.
@@ -81,14 +83,10 @@ class CachedEncoder:
         return self.pre_tokenizer.pre_tokenize_str(c)[0][0]
 
     def _encode(self, unit: str) -> bytes:
-        """The library's own steps: normalizer, pre-tokenizer, model; all at once if special tokens may occur."""
+        """A unit's ids: a plain word's from the model, any other's from the whole library."""
         if _PLAIN.fullmatch(unit):
             return self._plain(unit)
-        if any(s in unit for s in self.special):
-            return _little_endian(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        if self.normalizer is not None:
-            unit = self.normalizer.normalize_str(unit)
-        return b"".join([self._piece(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(unit)])
+        return _little_endian(self.tokenizer.encode(unit, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text (None: of the empty one) as little-endian unsigned 16-bit integers."""

@@ -35,7 +35,7 @@ def test_cached_encoding_is_the_librarys(name):
     from tokenizers import Tokenizer
 
     whole, own = Tokenizer.from_file(tokenizer(name)), tokens.encoder(tokenizer(name))
-    alphabet = " \n\t\r\x0b\x1c\x85  　aAbé.,'sß12½²'`<|_Σςǅ́日🙂-"
+    alphabet = " \n\n  ab!?;:#$%&*\t\r\x0b\x1c\x85  　aAbé.,'sß12½²'`<|_Σςǅ́日🙂-"
     texts = [t for t in TEXTS if t] + ["".join(RNG.choice(alphabet) for _ in range(RNG.randint(0, 60))) for _ in range(1500)]
     for text in texts:
         assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
