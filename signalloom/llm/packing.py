@@ -21,8 +21,6 @@ from .common import bucket_count, materialize
 from .tokens import encoder
 
 END_ID = 1
-#: Distinct terms of a seed, rarest first, that make its query.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 
@@ -62,15 +60,14 @@ class ShardIndex:
             terms.append(t)
             counts.append(c / (c + K1 * (1 - B + B * len(ids) / mean)) * (K1 + 1))
             owners.append(np.full(len(t), d))
-            best = np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]
-            self.queries.append(t[best])
+            self.queries.append(t)
         terms, weight, owner = np.concatenate(terms), np.concatenate(counts), np.concatenate(owners)
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = owner[order], (weight * idf[terms])[order]
         self.first = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
 
     def best_unused(self, seed: int, used: np.ndarray) -> int:
-        """The unused document with the highest score for the seed's query (the first one if none scores)."""
+        """The unused document with the highest score for all the seed's distinct terms (the first one if none scores)."""
         query = self.queries[seed]
         spans = list(zip(self.first[query].tolist(), self.first[query.astype(np.int64) + 1].tolist()))
         owner, weight = np.concatenate([self.owner[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans])

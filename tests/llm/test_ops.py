@@ -246,6 +246,18 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_scores_all_terms_of_a_seed(spark):
+    from tokenizers import Tokenizer
+
+    words = sorted(w[1:] for w in Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).get_vocab() if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha() and len(w) > 4)
+    # 30 words of its own, more than the 24 rarest, and 10 that its topic shares.
+    rows = [(i, " ".join(["and", *words[30 * i : 30 * i + 30], *words[-10 * (i % 6) - 10 : -10 * (i % 6) - 1]])) for i in range(60)]
+    by = {}
+    for x in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer("byte_bpe_50k.json"), window=210).collect():
+        by.setdefault(x["sequence_id"], set()).add(x["doc_id"] % 6)
+    assert sum(len(own) <= 2 for own in by.values()) > 0.6 * len(by)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
