@@ -1,27 +1,38 @@
 """Lexical retrieval packing.
 
-Documents are tokenized once and written.  Document frequencies and the mean length are taken
-over all documents.  Hash shards of documents then each build a BM25 inverted index over their
-token ids; a seed's window is filled with what its best unused neighbours in the index return,
-and what does not fit into a window opens the next, so only the last window of a shard is short.
+Documents are tokenized once, numbered and written.  Document frequencies and the mean length are
+taken over all documents, and every document's BM25 weights are written as shards of one index.
+Many lanes of windows grow at once: in a round the seed of each lane's open window is scored, by
+all its distinct terms, against every unused document of all shards, and the windows take their
+best unused neighbours, the highest scores first.  What does not fit into a window opens the lane's
+next one and is its seed.  The lanes' last, short windows are strung together, so only the very
+last window is short.  The search is exact and so its work grows with the square of the input.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize
+from .common import materialize
 from .tokens import encoder
 
 END_ID = 1
 K1, B = 1.2, 0.75
+#: A round brings each seed its best unused documents, so many at first; a window that wants more asks again.
+PER_ROUND = 8
+#: Where many seeds want the same documents (copies), the next round brings more, up to so many.
+MOST_PER_ROUND = 512
+#: Terms in at least one of so many documents are scored by a matrix product, the others by their postings.
+COMMON = 32
+#: Documents and seeds of one block of scores.
+DOC_BLOCK, SEED_BLOCK = 2048, 1024
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,56 +60,160 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["term", "df"])
 
 
-class ShardIndex:
-    """BM25 inverted index of one shard."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf = idf
-        terms, counts, owners, self.queries = [], [], [], []
-        for d, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c / (c + K1 * (1 - B + B * len(ids) / mean)) * (K1 + 1))
-            owners.append(np.full(len(t), d))
-            self.queries.append(t)
-        terms, weight, owner = np.concatenate(terms), np.concatenate(counts), np.concatenate(owners)
-        order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], (weight * idf[terms])[order]
-        self.first = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
-
-    def best_unused(self, seed: int, used: np.ndarray) -> int:
-        """The unused document with the highest score for all the seed's distinct terms (the first one if none scores)."""
-        query = self.queries[seed]
-        spans = list(zip(self.first[query].tolist(), self.first[query.astype(np.int64) + 1].tolist()))
-        owner, weight = np.concatenate([self.owner[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans])
-        score = np.bincount(owner, weight, minlength=len(used))
-        score[used] = -1.0
-        return int(score.argmax())
-
-
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of one shard's documents."""
-    index, used = ShardIndex(docs, idf, mean), np.zeros(len(docs), bool)
-    pieces, seq, room, seed = [], 0, window, 0
-    left = len(docs)
-    while left:
-        d = index.best_unused(seed, used) if used.any() else 0
-        used[d] = True
-        left -= 1
-        start, n = 0, len(docs[d])
+@dataclass
+class Seeds:
+    """The queries of a round: seed i has the distinct terms ``terms[i]``."""
+
+    terms: list[np.ndarray]
+    df: np.ndarray
+    n_docs: int
+
+    def __post_init__(self):
+        common = np.flatnonzero(self.df * COMMON >= self.n_docs)
+        self.column = np.full(1 << 16, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        flat, owner = np.concatenate(self.terms), np.repeat(np.arange(len(self.terms)), [len(t) for t in self.terms])
+        at = self.column[flat]
+        self.matrix = np.zeros((len(self.terms), len(common)), np.float32)
+        self.matrix[owner[at >= 0], at[at >= 0]] = 1
+        rare, owner = flat[at < 0], owner[at < 0]
+        order = np.argsort(rare, kind="stable")
+        self.owner, self.first = owner[order], np.searchsorted(rare[order], np.arange((1 << 16) + 1))
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """BM25 of every seed (blocks, with their first seed) against documents given by their postings."""
+        docs = np.repeat(np.arange(len(counts)), counts)
+        at = self.column[terms]
+        dense = np.zeros((len(counts), self.matrix.shape[1]), np.float32)
+        dense[docs[at >= 0], at[at >= 0]] = weights[at >= 0]
+        terms, weights, docs = terms[at < 0].astype(np.int64), weights[at < 0], docs[at < 0]
+        n = self.first[terms + 1] - self.first[terms]
+        k = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seed, doc, weight = self.owner[k], np.repeat(docs, n), np.repeat(weights, n)
+        order = np.argsort(seed, kind="stable")
+        seed, doc, weight = seed[order], doc[order], weight[order]
+        for a in range(0, len(self.terms), SEED_BLOCK):
+            block = self.matrix[a : a + SEED_BLOCK] @ dense.T
+            i, j = np.searchsorted(seed, [a, a + SEED_BLOCK])
+            np.add.at(block, (seed[i:j] - a, doc[i:j]), weight[i:j])
+            yield a, block
+
+
+class Best:
+    """The ``m`` best documents of each seed so far."""
+
+    def __init__(self, n_seeds: int, m: int):
+        self.score, self.doc = np.full((n_seeds, m), -np.inf, np.float32), np.full((n_seeds, m), -1, np.int64)
+
+    def add(self, a: int, block: np.ndarray, numbers: np.ndarray) -> None:
+        m = self.score.shape[1]
+        row, col = np.nonzero(block > self.score[a : a + len(block), -1:])
+        if len(row) > 4 * m * len(block) and block.shape[1] > m:
+            col = np.argpartition(-block, m - 1, axis=1)[:, :m].ravel()
+            row = np.repeat(np.arange(len(block)), m)
+        touched = np.unique(row)
+        rows = np.concatenate([row, np.repeat(touched, m)])
+        score = np.concatenate([block[row, col], self.score[a + touched].ravel()])
+        doc = np.concatenate([numbers[col], self.doc[a + touched].ravel()])
+        order = np.lexsort((doc, -score, rows))
+        rows, score, doc = rows[order], score[order], doc[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        top = rank < m
+        self.score[a + rows[top], rank[top]], self.doc[a + rows[top], rank[top]] = score[top], doc[top]
+
+
+class Lanes:
+    """Where every document goes: its lane and its first token's place there."""
+
+    def __init__(self, sizes: np.ndarray, window: int, n_lanes: int):
+        self.sizes, self.window = sizes, window
+        self.seed = np.arange(n_lanes) * len(sizes) // max(1, n_lanes)
+        self.lane, self.place = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+        self.lane[self.seed] = np.arange(n_lanes)
+        self.length = sizes[self.seed].copy()
+
+    def take(self, lane: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        """Give wanted documents to open windows, highest score first, until each window is full."""
+        done = set()
+        order = np.lexsort((doc, lane, -score))
+        for k, d in zip(lane[order].tolist(), doc[order].tolist()):
+            if k in done or self.lane[d] >= 0:
+                continue
+            at = self.length[k]
+            self.lane[d], self.place[d], self.length[k] = k, at, at + self.sizes[d]
+            if at % self.window == 0 or (at + self.sizes[d] - 1) // self.window > at // self.window:
+                self.seed[k] = d  # the first of a window, or cut by its end
+            if self.seed[k] == d or self.length[k] % self.window == 0:
+                done.add(k)
+
+    def pieces(self, d: int) -> list[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of a document's pieces."""
+        if not hasattr(self, "whole"):
+            self.whole = self.length // self.window
+            rest = self.length - self.whole * self.window
+            self.before = np.cumsum(self.whole) - self.whole
+            self.rest_at = self.whole.sum() * self.window + np.cumsum(rest) - rest
+        k, p, n, out, start = int(self.lane[d]), int(self.place[d]), int(self.sizes[d]), [], 0
         while start < n:
-            if room == 0:
-                seq, room, seed = seq + 1, window, d  # the rest of this document seeds the next window
-            take = min(room, n - start)
-            if room == window:
-                seed = d
-            pieces.append((d, start, take, seq, window - room))
-            start, room = start + take, room - take
-    return pieces
+            at = p + start
+            end = int(self.whole[k]) * self.window
+            at = int(self.before[k]) * self.window + at if at < end else int(self.rest_at[k]) + at - end
+            take = min(n - start, self.window - at % self.window)
+            if p + start < end:
+                take = min(take, end - p - start)
+            out.append((start, take, at // self.window, at % self.window))
+            start += take
+        return out
+
+
+def _index(df: np.ndarray, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, weights = [], []
+            for ids in batch.column(1).to_pylist():
+                t, c = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
+                terms.append(t.tobytes())
+                w = c / (c + K1 * (1 - B + B * (len(ids) // 2) / mean)) * (K1 + 1) * idf[t]
+                weights.append(w.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=["_no", "terms", "weights"])
+
+    return run
+
+
+def best_unused(index: DataFrame, seeds: list[np.ndarray], used: np.ndarray, df: np.ndarray, m: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, document, score) of the ``m`` unused documents of the whole index that score best for each seed's terms."""
+    sent = index.sparkSession.sparkContext.broadcast((seeds, np.packbits(used), df, len(used)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, bits, frequencies, n_docs = sent.value
+        queries, best, used = Seeds(terms, frequencies, n_docs), Best(len(terms), m), np.unpackbits(bits, count=n_docs)
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            free = np.flatnonzero(used[numbers] == 0)
+            for a in range(0, len(free), DOC_BLOCK):
+                at = free[a : a + DOC_BLOCK]
+                part = batch.take(pa.array(at))
+                ids, weights = part.column(1).to_pylist(), part.column(2).to_pylist()
+                counts = np.array([len(x) // 2 for x in ids])
+                for first, block in queries.scores(np.frombuffer(b"".join(ids), "<u2"), np.frombuffer(b"".join(weights), "<f4"), counts):
+                    best.add(first, block, numbers[at])
+        seed, rank = np.nonzero(best.doc >= 0)
+        for a in range(0, len(seed), 50_000):
+            i, j = seed[a : a + 50_000], rank[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best.doc[i, j]), pa.array(best.score[i, j])], names=["seed", "doc", "score"])
+
+    found = index.mapInArrow(run, "seed long, doc long, score float")
+    top = found.groupBy("seed").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc"))), 1, m).alias("top"))
+    got = top.select("seed", F.explode("top").alias("t")).select("seed", "t.doc", "t.s").toArrow()
+    sent.destroy()
+    seed, doc, score = (c.to_numpy() for c in got.columns)
+    return seed, doc, -score
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = END_ID, docs_per_shard: int = 512,
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = END_ID, docs_per_lane: int = 32,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens.
@@ -106,35 +221,54 @@ def pack(
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Every token, the end id included, lies in exactly one piece.  A null or empty text is its end
     id alone; repeated rows and rows with the same id are packed each on its own; null ids are
-    kept; an empty table gives no rows; other columns are ignored.
+    kept; an empty table gives no rows; other columns are ignored.  A window's neighbours come from
+    the whole table; the first seeds are every ``docs_per_lane``-th document in the table's order.
     """
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "pack-tokens")
-    stats = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    spark = docs.sparkSession
+    tokens = materialize(tokenize(docs, tokenizer_path, end_id, id_col, text_col).withColumn("_id", F.monotonically_increasing_id()), "pack-tokens")
     # At most 2**16 rows, one for each token id.
     counts = tokens.select("ids").mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(1 << 16, np.int64)
     for r in counts:
         df[r["term"]] = r["df"]
-    n_docs, mean = stats["docs"], stats["mean"] or 1.0
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    shards = bucket_count(n_docs, docs_per_shard)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "ids"], kind="stable")
-        arrays = [np.frombuffer(x, "<u2") for x in group["ids"]]
-        rows = pack_shard(arrays, idf, mean, window)
-        shard, ids = int(group["shard"].iloc[0]), group["doc_id"].array
-        return pd.DataFrame({
-            "doc_id": pd.array([ids[d] for d, *_ in rows], dtype="Int64"),
-            "start": [s for _, s, *_ in rows],
-            "length": [n for _, _, n, *_ in rows],
-            "ids_crc32": [zlib.crc32(arrays[d][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in rows],
-            "doc_tokens": [len(arrays[d]) for d, *_ in rows],
-            "sequence_id": [(shard << 32) + q for *_, q, _ in rows],
-            "offset": [o for *_, o in rows],
-        })
-
-    placed = tokens.withColumn("shard", F.pmod(F.xxhash64(F.crc32("ids"), "doc_id"), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInPandas(
+    # Two numbers of each document come to the driver, which holds where it goes.
+    heads = tokens.select("_id", "n").toArrow()
+    keys = np.asarray(heads.column(0).to_numpy())
+    order = np.argsort(keys)
+    keys, sizes = keys[order], np.asarray(heads.column(1).to_numpy())[order]
+    n_docs = len(keys)
+    if not n_docs:
+        return tokens.selectExpr("doc_id", "n as start", "n as length", "n as ids_crc32", "n as doc_tokens", "n as sequence_id", "n as offset")
+    parts, first = np.unique(keys >> 33, return_index=True)
+    number = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(parts, first) for x in pair]), F.shiftright("_id", 33)) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    tokens = tokens.withColumn("_no", number)
+    index = materialize(tokens.select("_no", "ids").mapInArrow(_index(df, n_docs, float(sizes.mean())), "_no long, terms binary, weights binary"), "pack-index")
+
+    lanes, terms = Lanes(sizes, window, max(1, n_docs // docs_per_lane)), {}
+    left, m = n_docs - len(lanes.seed), PER_ROUND
+    while left:
+        fresh = sorted({*lanes.seed.tolist()} - terms.keys())
+        if fresh:
+            wanted = spark.range(1).select(F.explode(F.split(F.lit(",".join(map(str, fresh))), ",").cast("array<bigint>")).alias("_no"))
+            got = index.select("_no", "terms").join(F.broadcast(wanted), "_no").toArrow()
+            terms |= {k: np.frombuffer(t, "<u2") for k, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist())}
+        terms = {k: terms[k] for k in lanes.seed.tolist()}
+        lanes.take(*best_unused(index, [terms[k] for k in lanes.seed.tolist()], lanes.lane >= 0, df, m))
+        before, left = left, int((lanes.lane < 0).sum())
+        m = min(2 * m, MOST_PER_ROUND) if before - left < len(lanes.seed) / 2 else max(m // 2, PER_ROUND)
+    sent = spark.sparkContext.broadcast(lanes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        for batch in batches:
+            own, rows = [], []
+            for i, (ids, no) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                ids = np.frombuffer(ids, "<u2")
+                for s, n, q, o in sent.value.pieces(no):
+                    own.append(i)
+                    rows.append((s, n, zlib.crc32(ids[s : s + n].astype("<u4").tobytes()), len(ids), q, o))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 6))], names=names)
+
+    return tokens.select("doc_id", "ids", "_no").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

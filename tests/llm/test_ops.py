@@ -258,6 +258,40 @@ def test_packing_scores_all_terms_of_a_seed(spark):
     assert sum(len(own) <= 2 for own in by.values()) > 0.6 * len(by)
 
 
+def test_packing_searches_the_whole_corpus_by_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DOC_BLOCK", 64)
+    monkeypatch.setattr(packing, "SEED_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    docs = [np.unique(np.minimum(rng.zipf(1.3, 80), 5000)).astype("<u2") for _ in range(900)]
+    df = np.bincount(np.concatenate(docs), minlength=1 << 16)
+    weights = [rng.random(len(t)).astype("<f4") for t in docs]
+    used = rng.random(len(docs)) < 0.2
+    index = spark.createDataFrame([(i, t.tobytes(), w.tobytes()) for i, (t, w) in enumerate(zip(docs, weights))], "_no long, terms binary, weights binary").repartition(5)
+    seed, doc, score = packing.best_unused(index, docs[:40], used, df)
+    full = np.zeros((len(docs), 1 << 13))
+    for i, (t, w) in enumerate(zip(docs, weights)):
+        full[i, t] = w
+    for s in range(40):
+        want = full[:, docs[s]].sum(axis=1)
+        want[used] = -1
+        mine = doc[seed == s]
+        assert len(set(mine.tolist())) == packing.PER_ROUND and not used[mine].any()  # recall 1 against brute force
+        assert np.allclose(np.sort(want[mine]), np.sort(want)[-packing.PER_ROUND:], atol=1e-4) and np.allclose(want[mine], score[seed == s], atol=1e-4)
+
+
+def test_packing_brings_scattered_topics_together(spark):
+    rng = random.Random(2)
+    topics = [[f"{chr(97 + t % 26)}{rng.randint(100, 999)}" for _ in range(12)] for t in range(40)]
+    rows = [(i, " ".join(rng.choice(topics[i % 40]) for _ in range(40))) for i in range(1200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer("byte_bpe_50k.json"), window=512).collect()
+    by, last = {}, max(x["sequence_id"] for x in got)
+    for x in got:
+        by.setdefault(x["sequence_id"], []).append(x)
+    assert all(sum(x["length"] for x in pieces) == 512 for q, pieces in by.items() if q < last) and sorted(by) == list(range(last + 1))
+    same = [len({x["doc_id"] % 40 for x in pieces}) == 1 for pieces in by.values()]
+    assert sum(same) > 0.6 * len(same)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
