@@ -132,6 +132,21 @@ def test_names_and_parties(spark):
     assert [x[0] for x in rows.select(text.canonical_party(rows.x)).collect()][2:5] == ["CDU/CSU", "GRÜNE", "other"]
 
 
+def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
+    import __spark_entry__ as e
+
+    duckdb = pytest.importorskip("duckdb")
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    got = {tuple(x) for x in e.queries()["log_bucket_gapfill_all"](spark, d).collect()}
+    assert got == set(con.execute(e.oracle_sql()["log_bucket_gapfill_all"]).fetchall())
+    assert {x[0] for x in got} == {x[0] for x in con.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    rows = [(1, "José", "es"), (2, "Müller fährt, Große Äpfel", "de"), (3, "Čeština é", None), (4, None, "fr"), (5, "naïve", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = {x["doc_id"]: x["plain"] for x in e.queries()["strip_accents_all"](spark, str(tmp_path)).collect()}
+    assert plain == {1: "Jose", 2: "Müller fährt, Große Äpfel", 3: "Cestina e", 4: None, 5: "naive"}
+
+
 def test_covote_thresholds_are_strict(spark):
     def votes(pairs):
         rows = [(p, str(i), float(x)) for i, (a, b) in enumerate(pairs) for p, x in ((1, a), (2, b))]
