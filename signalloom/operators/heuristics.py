@@ -60,25 +60,36 @@ def bulk_sweep(
     return best_labels, trace
 
 
-def best_move(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The single-vertex move among present labels that lowers correlation-clustering violations
-    most: (v, label, delta), ties to the smallest vertex and label."""
+def _moves(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(v, label, delta) of all single-vertex moves among present labels."""
     near = directed(edges).join(labels.select(F.col("v").alias("u"), F.col("label").alias("near")), "u").groupBy("v", "near").agg(F.sum("weight").alias("w"))
     present = labels.select("label").distinct()
     own = labels.select("v", F.col("label").alias("old")).join(near.select("v", F.col("near").alias("old"), F.col("w").alias("w_old")), ["v", "old"], "left")
     moves = own.join(F.broadcast(present), F.col("old") != F.col("label")).join(near.withColumnRenamed("near", "label"), ["v", "label"], "left")
-    moves = moves.withColumn("delta", F.coalesce("w_old", F.lit(0.0)) - F.coalesce("w", F.lit(0.0)))
-    return moves.agg(F.min(F.struct("delta", "v", "label")).alias("m")).select("m.v", "m.label", "m.delta")
+    return moves.withColumn("delta", F.coalesce("w_old", F.lit(0.0)) - F.coalesce("w", F.lit(0.0)))
 
 
-def local_search(edges: DataFrame, labels: DataFrame, rounds: int = 100) -> DataFrame:
-    """Best moves one after another until none lowers the violations."""
-    labels = checkpoint(labels)
-    for _ in range(rounds):
-        move = best_move(edges, labels).first()
-        if move is None or move["delta"] is None or move["delta"] >= 0:
+def best_move(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The single-vertex move among present labels that lowers correlation-clustering violations
+    most: (v, label, delta), ties to the smallest vertex and label."""
+    return _moves(edges, labels).agg(F.min(F.struct("delta", "v", "label")).alias("m")).select("m.v", "m.label", "m.delta")
+
+
+def local_search(edges: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Improving moves until none lowers the violations (or for ``rounds`` rounds): in a round each
+    vertex whose best move lowers them more than those of its neighbours moves (ties to the smaller
+    vertex), so no two neighbours move at once and the deltas add up."""
+    labels, done = checkpoint(labels), 0
+    while rounds is None or done < rounds:
+        best = _moves(edges, labels).where("delta < -1e-9").groupBy("v").agg(F.min(F.struct("delta", "label")).alias("m"))
+        best = checkpoint(best.select("v", F.col("m.delta").alias("delta"), F.col("m.label").alias("new")))
+        if best.isEmpty():
             break
-        labels = checkpoint(labels.withColumn("label", F.when(F.col("v") == move["v"], move["label"]).otherwise(F.col("label")).cast("int")))
+        other = best.select(F.col("v").alias("u"), F.col("delta").alias("other"))
+        beaten = directed(edges).select("v", "u").join(best, "v").join(other, "u").where("u <> v and struct(other, u) < struct(delta, v)").select("v").distinct()
+        moved = best.join(beaten, "v", "left_anti").select("v", "new")
+        labels = checkpoint(labels.join(moved, "v", "left").select("v", F.coalesce("new", "label").cast("int").alias("label")))
+        done += 1
     return labels
 
 

@@ -241,7 +241,8 @@ add("relabel_vertices", lambda s, d: r.relabel(g.vertices(day_edges(s, d))).with
 
 # --- heuristics, generator ------------------------------------------------------------------------
 add("gaec_clusters", lambda s, d: h.gaec(day_edges(s, d).select(F.lit("day").alias("graph_id"), "source", "target", "weight")))
-CONFIG = {"num_epochs": 4, "timeout_s": 60, "early_stopping_epochs": 50, "num_reassignment_chunks": 10, "temperature_decay_factor": 0.6666, "temperature_decay_epochs": 5}
+#: Epochs, early stop and timeout of the reference's configurations.
+CONFIG = {"num_epochs": 10_000, "timeout_s": 180, "early_stopping_epochs": 50, "num_reassignment_chunks": 10, "temperature_decay_factor": 0.6666, "temperature_decay_epochs": 5}
 
 
 def gaic_run_grid(s: SparkSession, d: str) -> DataFrame:
@@ -250,8 +251,8 @@ def gaic_run_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 add("gaic_run_grid", gaic_run_grid)
-add("bulk_sweep_labels", lambda s, d: h.bulk_sweep(day_edges(s, d), matrix(s), K, epochs=8)[0])
-add("local_search_labels", lambda s, d: h.local_search(day_edges(s, d), user_labels(s, d).join(g.vertices(day_edges(s, d)), "v", "left_semi"), rounds=5))
+add("bulk_sweep_labels", lambda s, d: h.bulk_sweep(day_edges(s, d), matrix(s), K, epochs=CONFIG["num_epochs"], patience=CONFIG["early_stopping_epochs"], timeout_s=CONFIG["timeout_s"])[0])
+add("local_search_labels", lambda s, d: h.local_search(day_edges(s, d), user_labels(s, d).join(g.vertices(day_edges(s, d)), "v", "left_semi")))
 N_PER, M_FRAC, P_RIGHT = 12, 0.3, 0.9
 add("synthetic_graph", lambda s, d: h.synthetic_graph(s, lb.chain(K), N_PER, M_FRAC, P_RIGHT, 11),
     f"""SELECT x.i AS source, y.i AS target, CASE WHEN (abs(x.i // {N_PER} - y.i // {N_PER}) <= 1) = ({uniform_sql('11', "'sign'", 'x.i', 'y.i')} < {P_RIGHT}) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS weight

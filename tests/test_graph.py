@@ -92,6 +92,20 @@ def test_bulk_sweep_and_local_search_improve(spark):
     assert lb.cc_violations(edges, end).first()[0] < lb.cc_violations(edges, start).first()[0]
 
 
+def test_local_search_ends_in_a_local_optimum(spark):
+    edges = h.synthetic_graph(spark, lb.chain(4), 60, 0.1, 0.9, 3)
+    start = g.vertices(edges).selectExpr("v", "cast(v % 5 as int) as label").localCheckpoint()
+    end = h.local_search(edges, start)
+    moved = start.join(end.withColumnRenamed("label", "now"), "v").where("label <> now").count()
+    assert moved > 100 and h.best_move(edges, end).first()["delta"] >= 0
+
+
+def test_registered_runs_have_the_references_ends():
+    from signalloom.plans.registry import CONFIG
+
+    assert (CONFIG["num_epochs"], CONFIG["early_stopping_epochs"], CONFIG["timeout_s"]) == (10_000, 50, 180)
+
+
 def test_mapping_wants_equal_numbers(spark):
     labels = g.vertices(edges_of(spark, "C4")).selectExpr("v", "cast(v % 3 as int) as label")
     with pytest.raises(ValueError):
