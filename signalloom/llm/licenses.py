@@ -2,11 +2,13 @@
 
 Around every occurrence of a template's rarest words, text and template are aligned: words that
 occur once on both sides anchor, the longest increasing subsequence of anchors stays, and the
-gaps between are aligned in the same way.  Coverage is the matched share of the template.
+gaps between are aligned in the same way; a gap without anchors (a repeated notice) by its longest
+common subsequence.  Coverage is the matched share of the template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -28,6 +30,26 @@ TEMPLATES = {
 }
 
 
+def common(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence of a[a0:a1] and b[b0:b1]."""
+    rows = [[0] * (b1 - b0 + 1)]
+    for x in a[a0:a1]:
+        last, row = rows[-1], [0]
+        for j, y in enumerate(b[b0:b1]):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        rows.append(row)
+    out, i, j = [], a1 - a0, b1 - b0
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((a0 + i, b0 + j))
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched positions of two word lists, by patience alignment; equal ends of a gap match first."""
     out: list[tuple[int, int]] = []
@@ -59,6 +81,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             n = back[n]
         chain.reverse()
         if not chain:
+            out += common(a, b, a0, a1, b0, b1)
             continue
         out += chain
         for (i0, j0), (i1, j1) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)]):
@@ -85,10 +108,11 @@ class Scanner:
         for name in sorted(self.templates):
             template, need = self.templates[name], self.counts[name]
             possible = sum(min(n, len(at[w])) if w in at else 0 for w, n in need.items())
-            if not template or possible < self.min_coverage * len(template):
+            enough = math.ceil(self.min_coverage * len(template) - 1e-9)
+            if not template or possible < enough:
                 continue  # no alignment can reach the threshold
             # At least one of the words that may not all be missing stands in any match.
-            missing = int((1 - self.min_coverage) * len(template)) + 1
+            missing = len(template) - enough + 1
             rarest = sorted((w for w in need if w in at), key=lambda w: (len(at[w]), w))[:missing]
             reach, done = 2 * len(template), -1
             for i in sorted({i for w in rarest for i in at[w]}):
@@ -96,7 +120,7 @@ class Scanner:
                     continue
                 lo, hi = max(0, i - reach), min(len(words), i + reach + 1)
                 n = len(align(words[lo:hi], template))
-                if n / len(template) >= self.min_coverage and (n / len(template), n) > best[1:]:
+                if n >= enough and (n / len(template), n) > best[1:]:
                     best = (name, n / len(template), n)
                 done = i + len(template) // 2
         return best

@@ -162,6 +162,22 @@ def test_license_alignment(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_repeated_and_incomplete_notices_are_found():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    assert scan("x x x Released under the MIT License Released under the MIT License y") == ("MIT", 1.0, 5)
+    # One of five words is missing, the next rarest stands far off as well.
+    assert scan("license " + "q " * 60 + "released under the mit permit" + " q" * 60) == ("MIT", 0.8, 4)
+    assert licenses.Scanner({"T": "a b c d e"}, 0.8).scan("a " + "x " * 40 + "b c d e")[0] == "T"
+    for _ in range(200):
+        a, b = [RNG.choices("abcd", k=RNG.randint(0, 9)) for _ in range(2)]
+        got = licenses.common(a, b, 0, len(a), 0, len(b))[::-1]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
 def test_mixing_keeps_budgets(docs, empty, spark):
     many = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text", "array('en','de','fr')[id % 3] as lang", "concat('src', if(id % 3 = 0, 0, id % 7)) as source")
     out = mixing.mix(many, source_domain(many.source), MIX_WEIGHTS, max_epochs=2)
