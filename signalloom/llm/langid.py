@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Undetermined: null text or no letter.
@@ -70,26 +70,34 @@ class StringKernelModel:
 
 
 def fit(
-    rows: list[tuple[str, str]], dims: int = 1 << 14, landmarks: int = 96, ridge: float = 1e-3
+    rows: list[tuple[str, str]], dims: int = 1 << 14, landmarks: int | None = None, ridge: float = 1e-3
 ) -> StringKernelModel:
-    """Train on (text, language) pairs.  No usable row: a model that answers ``und``."""
+    """Train on (text, language) pairs, with 96 landmarks or 8 a language if that is more.  No
+    usable row: a model that answers ``und``."""
     rows = [(t, y) for t, y in rows if t is not None and y is not None and _LETTER.search(t)]
     langs = sorted({y for _, y in rows})
     if not langs:
         return StringKernelModel([], np.zeros((dims, 0), np.float32), np.zeros(0))
-    x = np.zeros((len(rows), dims), dtype=np.uint8)
-    for i, (t, _) in enumerate(rows):
-        presence(t, x[i])
-    norm = np.sqrt(x.sum(axis=1, dtype=np.int64))
-    x = x.astype(np.float32) / norm[:, None].astype(np.float32)
-    by_lang = [[i for i, (_, y) in enumerate(rows) if y == lang] for lang in langs]
-    picked = [i for r in range(landmarks) for own in by_lang if r < len(own) for i in [own[r]]][:landmarks]
+    landmarks = max(96, 8 * len(langs)) if landmarks is None else landmarks
+
+    def unit(part: list[int]) -> np.ndarray:
+        x = np.zeros((len(part), dims), dtype=np.uint8)
+        for r, i in enumerate(part):
+            presence(rows[i][0], x[r])
+        norm = np.sqrt(x.sum(axis=1, dtype=np.int64))
+        return x.astype(np.float32) / norm[:, None].astype(np.float32)
+
+    by_lang = {lang: [] for lang in langs}
+    for i, (_, y) in enumerate(rows):
+        by_lang[y].append(i)
+    picked = [i for r in range(landmarks) for own in by_lang.values() if r < len(own) for i in [own[r]]][:landmarks]
     # Nystrom map: K(x, L) K(L, L)^(-1/2).
-    marks = x[picked]
+    marks = unit(picked)
     vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = vals > 1e-8 * vals[-1]
     whiten = vecs[:, keep] / np.sqrt(vals[keep])
-    feats = (x @ marks.T).astype(np.float64) @ whiten
+    # By blocks, so that many languages need no more memory than their features.
+    feats = np.concatenate([(unit(list(range(i, min(i + 1024, len(rows))))) @ marks.T).astype(np.float64) @ whiten for i in range(0, len(rows), 1024)])
     y = np.array([[1.0 if lang == own else -1.0 for lang in langs] for _, own in rows])
     centre, y_mean = feats.mean(axis=0), y.mean(axis=0)
     f = feats - centre
@@ -98,20 +106,18 @@ def fit(
 
 
 def training_rows(docs: DataFrame, per_lang: int, max_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded, seeded sample: ``per_lang`` labelled texts of each of at most 64 languages,
-    those distinct ones with the smallest hashes among the ones of at most ``max_chars`` characters."""
+    """A seeded sample: at most ``per_lang`` distinct labelled texts of every language, those of at
+    most ``max_chars`` characters with the smallest hashes, then, if these are too few, the
+    shortest of the longer ones."""
     known = docs.where(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2)
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = known.where(F.char_length("text") <= max_chars).withColumn("h", F.xxhash64(F.lit(4), "text"))
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
-    out = []
-    for lang in langs:
-        own = known.where(F.col("lang") == lang)
-        lowest = own.select("h").distinct().orderBy("h").limit(per_lang).collect()  # hashes only: few bytes from each task
-        best = own.where(F.col("h") <= lowest[-1]["h"]).groupBy("h").agg(F.min("text").alias("text")) if lowest else own
-        out += [(r["text"], lang) for r in sorted(best.collect(), key=lambda r: r["h"])]
-    return out
+    n = F.char_length("text")
+    known = known.withColumn("h", F.xxhash64(F.lit(4), "text")).withColumn("over", F.when(n > max_chars, n).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("over", "h"))
+    best = known.select("lang", "over", "h").distinct().withColumn("_place", place).where(F.col("_place") <= per_lang).drop("_place")  # hashes only: few bytes from each task
+    rows = known.join(F.broadcast(best), ["lang", "over", "h"]).groupBy("lang", "over", "h").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["over"], r["h"]))]
 
 
 def identify(
@@ -120,8 +126,8 @@ def identify(
 ) -> DataFrame:
     """Predict the language of every whole text.
 
-    Trains on at most ``per_lang`` labelled documents of each language, whole texts of up to
-    ``max_chars`` characters (the bounds of the sample), of those whose crc32(id as text) mod 4 is not 2; only their text and language are
+    Trains on at most ``per_lang`` labelled documents of each language, whole texts, those of up to
+    ``max_chars`` characters before longer ones, of those whose crc32(id as text) mod 4 is not 2; only their text and language are
     used, and predictions see only the text.  Returns doc_id, held_out, lang_pred, score, or
     with ``keep`` all input columns plus ``_lang_pred`` and ``_score``.  A null text, or one
     without a letter, is ``und`` with score 0; null ids are not held out; a table without labels

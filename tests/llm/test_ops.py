@@ -118,6 +118,23 @@ def test_language_id(spark, docs, empty):
     assert {x["lang_pred"] for x in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1).isNull().cast("string")).where("false")).collect()} == set()
 
 
+def test_every_labelled_language_is_learned(spark):
+    def words(k, seed):
+        own, letters = random.Random(k), "abcdefghijklmnopqrstuvwxyz"
+        vocabulary = ["".join(own.choices(letters, k=5)) for _ in range(12)]
+        return " ".join(random.Random(seed).choices(vocabulary, k=30))
+
+    rows = [(100 * k + i, words(k, 100 * k + i), f"l{k:02}") for k in range(70) for i in range(8)]
+    rows += [(9000 + i, " ".join([words(99, i)] * (8 + i)), "long") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_rows(df, 5, 1000, "doc_id", "text", "lang")
+    assert {y for _, y in sample} == {y for _, _, y in rows} and max(sum(y == z for _, z in sample) for _, y, in [*sample]) <= 5
+    trained = sorted((t for _, t, y in rows if y == "long" and zlib.crc32(str(_).encode()) % 4 != 2), key=len)[:5]
+    assert sorted((t for t, y in sample if y == "long"), key=len) == trained
+    got = langid.identify(df, max_chars=1000).collect()
+    assert sum(x["lang_pred"] == y for x, (_, _, y) in zip(sorted(got, key=lambda x: x["doc_id"]), rows)) > 0.95 * len(rows)
+
+
 def _sets(text):
     import re
 
