@@ -18,6 +18,8 @@ from .common import count_below, long_array, range_bucket, range_splitters
 #: Low bits of a packed k-mer hold its position, high bits its hash.
 POSITION_BITS = 24
 POSITION_MASK = (1 << POSITION_BITS) - 1
+#: Words with more characters are cut into overlapping pieces.
+LONG_WORD = 64
 #: What separates words, besides the space.
 WHITE_SPACE = "\t\n\x0b\x0c\r"
 
@@ -29,8 +31,8 @@ def _shift(x: Column) -> Column:
 def with_fingerprint(df: DataFrame, text_col: str, out_col: str, k: int = 3, components: int = 64) -> DataFrame:
     """Add ``out_col``: ``components`` groups of four hex digits; '' for a text without words.
 
-    Null counts as empty.  Words are runs of characters other than white space; if they are
-    longer than 64 on average, pieces of up to four characters stand for them.  A text with
+    Null counts as empty.  Words are runs of characters other than white space; for a word of
+    more than 64 all its runs of four characters stand, whatever the rest of the text.  A text with
     fewer than k words has one k-mer, the whole sequence.  Equal texts have equal fingerprints.
     Other columns pass through.
     """
@@ -39,9 +41,10 @@ def with_fingerprint(df: DataFrame, text_col: str, out_col: str, k: int = 3, com
     no_words, no_hashes = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<bigint>)")
     words = F.split(F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE)), " ")
     df = df.withColumn(w, F.filter(words, lambda x: x != ""))
-    # Words this long on average: a script without spaces, cut into short pieces instead.
-    pieces = F.filter(F.split(F.regexp_replace(text, r"(\S{4})", "$1 "), r"\s+"), lambda x: x != "")
-    df = df.withColumn(w, F.when(F.char_length(text) > 64 * F.size(w), pieces).otherwise(F.col(w)))
+    # A script without spaces: overlapping pieces of such a word alone, whatever else the text has.
+    pieces = lambda x: F.when(F.length(x) > LONG_WORD, F.regexp_extract_all(x, F.lit(r"(?s)(?=(.{4}))."), F.lit(1))).otherwise(F.array(x))
+    long = F.exists(F.col(w), lambda x: F.length(x) > LONG_WORD)
+    df = df.withColumn(w, F.when(long, F.flatten(F.transform(F.col(w), pieces))).otherwise(F.col(w)))
     short = (F.size(w) > 0) & (F.size(w) < k)
     df = df.withColumn(w, F.when(short, F.concat(w, F.array_repeat(F.lit(""), F.lit(k) - F.size(w)))).otherwise(F.coalesce(w, no_words)))
 

@@ -107,6 +107,19 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edit_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_have_one_unit_for_every_text(spark):
+    rng = random.Random(6)
+    script = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(3000))
+    spaced = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(700))
+    rows = spark.createDataFrame([(1, script, script[:1500] + spaced[:1500]), (2, script, script[:10] + "x" + script[10:])], "id int, a string, b string")
+    rows = fingerprints.with_fingerprint(fingerprints.with_fingerprint(rows, "a", "fa"), "b", "fb")
+    near = {x["id"]: x["n"] for x in rows.select("id", fingerprints.likeness(rows.fa, rows.fb).alias("n")).collect()}
+    # 1,497 of 3,215 3-mers are common, and a component takes two: about 0.22, with a deviation of 0.05.
+    assert near[1] > 0.1 and near[2] > 0.8
+    edited = fingerprints.edit_fingerprints(spark.createDataFrame([(1, script), (2, spaced)], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["near_edited"] > 0.1 for x in edited}[1]
+
+
 def test_language_id(spark, docs, empty):
     en, de = ["the cat and the dog are in the house", "this is what they have said to them"], ["der hund und die katze sind im haus", "das ist was sie ihnen gesagt haben"]
     rows = [(i, RNG.choice(en) + f" {i}", "en") for i in range(60)] + [(i, RNG.choice(de) + f" {i}", "de") for i in range(60, 120)] + [(200, None, "en"), (201, "123 !", "de"), (None, "the house", "en")]
