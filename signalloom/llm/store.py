@@ -7,7 +7,7 @@ over them; recipes are written in ascending doc_id order with each document's pl
 whole stream, and a manifest holds the root over all recipes.
 
 Format (Parquet): ``chunks`` digest, ids (little-endian unsigned 16-bit); ``recipes`` doc_id, start,
-n_tokens, digests, root; ``manifest`` documents, tokens, root.
+n_tokens, digests, root; ``manifest`` documents, tokens, root of each range, and the root over all ranges.
 """
 
 from __future__ import annotations
@@ -122,19 +122,41 @@ def write_store(
     ordered.write.option("compression", "zstd").parquet(f"{store}/recipes")
 
     # Merkle manifest: a root for each range of the stream, then one over those.
-    recipes = docs.sparkSession.read.parquet(f"{store}/recipes").withColumn("_range", F.floor(F.col("start") / 5_000_000))
+    ranges = materialize(_ranges(docs.sparkSession, store), "store-ranges")
+    top = _top(ranges)
+    ranges.withColumn("top", F.lit(top)).write.parquet(f"{store}/manifest")
+
+
+def _ranges(spark: SparkSession, store: str) -> DataFrame:
+    """Documents, tokens and root of each range of the stream, from the recipes."""
+    recipes = spark.read.parquet(f"{store}/recipes").withColumn("_range", F.floor(F.col("start") / 5_000_000))
 
     def range_root(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
         return pd.DataFrame({"_range": [int(key[0])], "documents": [len(group)], "tokens": [int(group["n_tokens"].sum())], "root": [merkle_root(list(group["root"]))]})
 
-    manifest = recipes.select("_range", "start", "n_tokens", "root").groupBy("_range").applyInPandas(range_root, "_range long, documents long, tokens long, root binary")
-    manifest.write.parquet(f"{store}/manifest")
+    return recipes.select("_range", "start", "n_tokens", "root").groupBy("_range").applyInPandas(range_root, "_range long, documents long, tokens long, root binary")
+
+
+def _top(ranges: DataFrame) -> bytes:
+    """Root over the range roots (one for each 5,000,000 tokens), with their numbers and counts."""
+    rows = sorted(tuple(r) for r in ranges.select("_range", "documents", "tokens", "root").collect())
+    return merkle_root([digest(repr((n, d, t, bytes(root))).encode()) for n, d, t, root in rows])
+
+
+def verify_manifest(spark: SparkSession, store: str) -> None:
+    """Compare the manifest with the recipes; ValueError if a recipe is gone, added or altered."""
+    manifest = spark.read.parquet(f"{store}/manifest")
+    wanted = {bytes(r["top"]) for r in manifest.select("top").distinct().collect()} or {merkle_root([])}
+    if not wanted == {_top(manifest)} == {_top(_ranges(spark, store))}:
+        raise ValueError(f"the recipes of {store} are not those of its manifest")
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Read a store back and verify it: doc_id, start, n_tokens, ids_crc32, verified.
 
+    Recipes that do not agree with the manifest fail the reading.
+
     Each chunk is read once: its name is checked against its ids, and the checksum of its ids (as
     little-endian unsigned 32-bit integers) is taken; a document's checksum is combined from its
     chunks' in the order of its recipe, and its root checked against the recipe's.
@@ -147,6 +169,7 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
             good = [digest(x) == n for n, x in zip(names, datas)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in datas], pa.int64()), pa.array(crcs, pa.int64()), pa.array(good)], names=["digest", "n", "crc", "good"])
 
+    verify_manifest(spark, store)
     chunks = spark.read.parquet(f"{store}/chunks").mapInArrow(summed, "digest binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{store}/recipes")
     parts = recipes.select("start", F.posexplode("digests").alias("i", "digest")).join(chunks, "digest")

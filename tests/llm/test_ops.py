@@ -249,6 +249,16 @@ def test_store_round_trip(docs, empty):
     assert store.round_trip(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_store_with_a_lost_recipe_is_refused(spark, docs, tmp_path):
+    at = str(tmp_path / "store")
+    store.write_store(docs, tokenizer("word_bpe_49k.json"), at)
+    assert store.read_store(spark, at).count() == len(TEXTS) + 1
+    recipes = spark.read.parquet(f"{at}/recipes").where("start > 0").toPandas()
+    spark.createDataFrame(recipes, "doc_id long, start long, n_tokens long, digests array<binary>, root binary").write.mode("overwrite").parquet(f"{at}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        store.read_store(spark, at)
+
+
 def test_chunks_survive_an_insertion():
     a = np.random.default_rng(0).integers(0, 49_000, 20_000).astype("<u2")
     b = np.insert(a, 5, [1, 2, 3])
