@@ -1,19 +1,19 @@
 """Lexical retrieval packing.
 
-Documents are tokenized once, numbered and written.  Document frequencies and the mean length are
-taken over all documents, and every document's BM25 weights are written as shards of one index.
-Many lanes of windows grow at once: in a round the seed of each lane's open window is scored, by
-all its distinct terms, against every unused document of all shards, and the windows take their
-best unused neighbours, the highest scores first.  What does not fit into a window opens the lane's
-next one and is its seed.  The lanes' last, short windows are strung together, so only the very
-last window is short.  The search is exact and so its work grows with the square of the input.
+Documents are tokenized once and written.  Document frequencies and the mean length are taken over
+all documents.  The BM25 index is sharded by topic: every document goes to the one of ``pivots``
+sampled documents that scores best for its terms, and within a pivot documents lie in the order of
+their heaviest terms, so that neighbours lie together; Spark range-partitions that order, and runs of
+``docs_per_shard`` documents are the shards.  In its shard each window's seed document is scored by
+all its distinct terms against every unused document, and the best ones fill the window.  A
+document cut by a window's end seeds the next one.  Work and memory of a shard are bounded, and the
+number of shards grows with the input.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,11 @@ from .tokens import encoder
 
 END_ID = 1
 K1, B = 1.2, 0.75
-#: A round brings each seed its best unused documents, so many at first; a window that wants more asks again.
-PER_ROUND = 8
-#: Where many seeds want the same documents (copies), the next round brings more, up to so many.
-MOST_PER_ROUND = 512
-#: Terms in at least one of so many documents are scored by a matrix product, the others by their postings.
-COMMON = 32
-#: Documents and seeds of one block of scores.
-DOC_BLOCK, SEED_BLOCK = 2048, 1024
+#: A shard ends at so many tokens too, so that long documents do not make it large.
+SHARD_TOKENS = 1 << 23
+#: Terms in at least so many documents of a shard are scored by matrix products, the others by postings.
+COMMON, COLUMNS = 32, 4096
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,215 +57,181 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["term", "df"])
 
 
-@dataclass
-class Seeds:
-    """The queries of a round: seed i has the distinct terms ``terms[i]``."""
-
-    terms: list[np.ndarray]
-    df: np.ndarray
-    n_docs: int
-
-    def __post_init__(self):
-        common = np.flatnonzero(self.df * COMMON >= self.n_docs)
-        self.column = np.full(1 << 16, -1, np.int64)
-        self.column[common] = np.arange(len(common))
-        flat, owner = np.concatenate(self.terms), np.repeat(np.arange(len(self.terms)), [len(t) for t in self.terms])
-        at = self.column[flat]
-        self.matrix = np.zeros((len(self.terms), len(common)), np.float32)
-        self.matrix[owner[at >= 0], at[at >= 0]] = 1
-        rare, owner = flat[at < 0], owner[at < 0]
-        order = np.argsort(rare, kind="stable")
-        self.owner, self.first = owner[order], np.searchsorted(rare[order], np.arange((1 << 16) + 1))
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """BM25 of every seed (blocks, with their first seed) against documents given by their postings."""
-        docs = np.repeat(np.arange(len(counts)), counts)
-        at = self.column[terms]
-        dense = np.zeros((len(counts), self.matrix.shape[1]), np.float32)
-        dense[docs[at >= 0], at[at >= 0]] = weights[at >= 0]
-        terms, weights, docs = terms[at < 0].astype(np.int64), weights[at < 0], docs[at < 0]
-        n = self.first[terms + 1] - self.first[terms]
-        k = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        seed, doc, weight = self.owner[k], np.repeat(docs, n), np.repeat(weights, n)
-        order = np.argsort(seed, kind="stable")
-        seed, doc, weight = seed[order], doc[order], weight[order]
-        for a in range(0, len(self.terms), SEED_BLOCK):
-            block = self.matrix[a : a + SEED_BLOCK] @ dense.T
-            i, j = np.searchsorted(seed, [a, a + SEED_BLOCK])
-            np.add.at(block, (seed[i:j] - a, doc[i:j]), weight[i:j])
-            yield a, block
-
-
-class Best:
-    """The ``m`` best documents of each seed so far."""
-
-    def __init__(self, n_seeds: int, m: int):
-        self.score, self.doc = np.full((n_seeds, m), -np.inf, np.float32), np.full((n_seeds, m), -1, np.int64)
-
-    def add(self, a: int, block: np.ndarray, numbers: np.ndarray) -> None:
-        m = self.score.shape[1]
-        row, col = np.nonzero(block > self.score[a : a + len(block), -1:])
-        if len(row) > 4 * m * len(block) and block.shape[1] > m:
-            col = np.argpartition(-block, m - 1, axis=1)[:, :m].ravel()
-            row = np.repeat(np.arange(len(block)), m)
-        touched = np.unique(row)
-        rows = np.concatenate([row, np.repeat(touched, m)])
-        score = np.concatenate([block[row, col], self.score[a + touched].ravel()])
-        doc = np.concatenate([numbers[col], self.doc[a + touched].ravel()])
-        order = np.lexsort((doc, -score, rows))
-        rows, score, doc = rows[order], score[order], doc[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = rank < m
-        self.score[a + rows[top], rank[top]], self.doc[a + rows[top], rank[top]] = score[top], doc[top]
-
-
-class Lanes:
-    """Where every document goes: its lane and its first token's place there."""
-
-    def __init__(self, sizes: np.ndarray, window: int, n_lanes: int):
-        self.sizes, self.window = sizes, window
-        self.seed = np.arange(n_lanes) * len(sizes) // max(1, n_lanes)
-        self.lane, self.place = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
-        self.lane[self.seed] = np.arange(n_lanes)
-        self.length = sizes[self.seed].copy()
-
-    def take(self, lane: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
-        """Give wanted documents to open windows, highest score first, until each window is full."""
-        done = set()
-        order = np.lexsort((doc, lane, -score))
-        for k, d in zip(lane[order].tolist(), doc[order].tolist()):
-            if k in done or self.lane[d] >= 0:
-                continue
-            at = self.length[k]
-            self.lane[d], self.place[d], self.length[k] = k, at, at + self.sizes[d]
-            if at % self.window == 0 or (at + self.sizes[d] - 1) // self.window > at // self.window:
-                self.seed[k] = d  # the first of a window, or cut by its end
-            if self.seed[k] == d or self.length[k] % self.window == 0:
-                done.add(k)
-
-    def pieces(self, d: int) -> list[tuple[int, int, int, int]]:
-        """(start, length, sequence, offset) of a document's pieces."""
-        if not hasattr(self, "whole"):
-            self.whole = self.length // self.window
-            rest = self.length - self.whole * self.window
-            self.before = np.cumsum(self.whole) - self.whole
-            self.rest_at = self.whole.sum() * self.window + np.cumsum(rest) - rest
-        k, p, n, out, start = int(self.lane[d]), int(self.place[d]), int(self.sizes[d]), [], 0
-        while start < n:
-            at = p + start
-            end = int(self.whole[k]) * self.window
-            at = int(self.before[k]) * self.window + at if at < end else int(self.rest_at[k]) + at - end
-            take = min(n - start, self.window - at % self.window)
-            if p + start < end:
-                take = min(take, end - p - start)
-            out.append((start, take, at // self.window, at % self.window))
-            start += take
+class Bm25:
+    """Weights of terms in documents, from statistics of the whole corpus."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float):
+        self.idf, self.mean = np.log1p((n_docs - df + 0.5) / (df + 0.5)), mean
+
+    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a document and what each adds to the score of a query that has it."""
+        terms, count = np.unique(ids, return_counts=True)
+        return terms, (count / (count + K1 * (1 - B + B * len(ids) / self.mean)) * (K1 + 1) * self.idf[terms]).astype(np.float32)
+
+    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
+        """BM25 of each document (columns) for all distinct terms of each document (rows); a term that
+        no other document has is left out, as it counts only on the diagonal."""
+        terms, weights = zip(*map(self.weights, docs))
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
+        terms, weights = np.concatenate(terms), np.concatenate(weights)
+        df = np.bincount(terms, minlength=1 << 16)
+        out = np.zeros((len(docs), len(docs)), np.float32)
+        common = np.flatnonzero(df >= COMMON)
+        for a in range(0, len(common), COLUMNS):
+            column = np.full(1 << 16, -1)
+            part = common[a : a + COLUMNS]
+            column[part] = np.arange(len(part))
+            at = column[terms]
+            hit = at >= 0
+            has, has_weight = np.zeros((2, len(docs), len(part)), np.float32)
+            has[owner[hit], at[hit]], has_weight[owner[hit], at[hit]] = 1, weights[hit]
+            out += has @ has_weight.T
+        rare = (df[terms] < COMMON) & (df[terms] > 1)
+        order = np.argsort(terms[rare], kind="stable")
+        t, d, w = terms[rare][order], owner[rare][order], weights[rare][order]
+        first, n = np.searchsorted(t, t), df[t]
+        # Each posting meets all postings of its term.
+        other = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(out.reshape(-1), d[other] * len(docs) + np.repeat(d, n), np.repeat(w, n))
         return out
 
 
-def _index(df: np.ndarray, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, weights = [], []
-            for ids in batch.column(1).to_pylist():
-                t, c = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
-                terms.append(t.tobytes())
-                w = c / (c + K1 * (1 - B + B * (len(ids) // 2) / mean)) * (K1 + 1) * idf[t]
-                weights.append(w.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=["_no", "terms", "weights"])
-
-    return run
-
-
-def best_unused(index: DataFrame, seeds: list[np.ndarray], used: np.ndarray, df: np.ndarray, m: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, document, score) of the ``m`` unused documents of the whole index that score best for each seed's terms."""
-    sent = index.sparkSession.sparkContext.broadcast((seeds, np.packbits(used), df, len(used)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, bits, frequencies, n_docs = sent.value
-        queries, best, used = Seeds(terms, frequencies, n_docs), Best(len(terms), m), np.unpackbits(bits, count=n_docs)
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            free = np.flatnonzero(used[numbers] == 0)
-            for a in range(0, len(free), DOC_BLOCK):
-                at = free[a : a + DOC_BLOCK]
-                part = batch.take(pa.array(at))
-                ids, weights = part.column(1).to_pylist(), part.column(2).to_pylist()
-                counts = np.array([len(x) // 2 for x in ids])
-                for first, block in queries.scores(np.frombuffer(b"".join(ids), "<u2"), np.frombuffer(b"".join(weights), "<f4"), counts):
-                    best.add(first, block, numbers[at])
-        seed, rank = np.nonzero(best.doc >= 0)
-        for a in range(0, len(seed), 50_000):
-            i, j = seed[a : a + 50_000], rank[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best.doc[i, j]), pa.array(best.score[i, j])], names=["seed", "doc", "score"])
-
-    found = index.mapInArrow(run, "seed long, doc long, score float")
-    top = found.groupBy("seed").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc"))), 1, m).alias("top"))
-    got = top.select("seed", F.explode("top").alias("t")).select("seed", "t.doc", "t.s").toArrow()
-    sent.destroy()
-    seed, doc, score = (c.to_numpy() for c in got.columns)
-    return seed, doc, -score
+class Pivots:
+    """Places of documents in the index: the pivot that scores best, then the heaviest terms."""
+
+    def __init__(self, bm25: Bm25, pivots: list[tuple[np.ndarray, np.ndarray]]):
+        self.bm25 = bm25
+        known = np.unique(np.concatenate([t for t, _ in pivots]))
+        self.row = np.zeros(1 << 16, np.int32)
+        self.row[known] = np.arange(1, len(known) + 1)
+        self.matrix = np.zeros((len(known) + 1, len(pivots)), np.float32)
+        for j, (t, w) in enumerate(pivots):
+            self.matrix[self.row[t], j] = w
+
+    def key(self, ids: np.ndarray) -> int:
+        terms, weights = self.bm25.weights(ids)
+        pivot = int(self.matrix[self.row[terms]].sum(axis=0).argmax())
+        heavy = [*terms[np.lexsort((terms, -weights))[:2]].tolist(), 0]
+        return pivot << 32 | heavy[0] << 16 | heavy[1]
+
+
+class Windows:
+    """Fills one window after another; a document that a window's end cuts opens the next."""
+
+    def __init__(self, window: int, first_sequence: int):
+        self.window, self.sequence = window, first_sequence
+        self.open: list[tuple] = []  # pieces of the open window: doc_id, ids, start, length
+        self.filled = 0
+
+    def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
+        """Rows of the windows that this document fills."""
+        rows, start = [], 0
+        while start < len(ids):
+            take = min(len(ids) - start, self.window - self.filled)
+            self.open.append((doc_id, ids, start, take))
+            start, self.filled = start + take, self.filled + take
+            if self.filled == self.window:
+                rows += self.close()
+        return rows
+
+    def close(self) -> list[tuple]:
+        """Rows of the open window, which ends here."""
+        rows, at = [], 0
+        for doc_id, ids, start, length in self.open:
+            crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
+            rows.append((doc_id, start, length, crc, len(ids), self.sequence, at))
+            at += length
+        self.open, self.filled, self.sequence = [], 0, self.sequence + 1
+        return rows
+
+
+def fill_order(scores: np.ndarray, sizes: list[int], room: int, window: int) -> Iterator[int]:
+    """Order in which a shard's documents fill windows: each window's seed brings its best unused
+    neighbours (ties to the first); ``room`` tokens are left in the window open before."""
+    free = np.zeros(len(sizes), np.float32)
+    seed = None
+    for _ in range(len(sizes)):
+        d = int((free if seed is None else scores[seed] + free).argmax())
+        yield d
+        free[d] = -np.inf
+        # A document that reaches a window's end is, or leaves, the seed of the next.
+        if seed is None or sizes[d] >= room:
+            seed = d
+        room = window - (sizes[d] - room) % window if sizes[d] >= room else room - sizes[d]
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = END_ID, docs_per_lane: int = 32,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = END_ID, docs_per_shard: int = 4096, pivots: int = 64,
+    tokens_per_partition: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    Every token, the end id included, lies in exactly one piece.  A null or empty text is its end
-    id alone; repeated rows and rows with the same id are packed each on its own; null ids are
-    kept; an empty table gives no rows; other columns are ignored.  A window's neighbours come from
-    the whole table; the first seeds are every ``docs_per_lane``-th document in the table's order.
+    Every token, the end id included, lies in exactly one piece.  Only each partition's last window
+    is short.  A null or empty text is its end id alone; repeated rows
+    and rows with the same id are packed each on its own; null ids are kept; an empty table gives
+    no rows; other columns are ignored.  ``pivots``: size of the sample (smallest hashes of the ids)
+    that the index is routed by; it bounds what the driver holds, every document is indexed.
     """
-    spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer_path, end_id, id_col, text_col).withColumn("_id", F.monotonically_increasing_id()), "pack-tokens")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    stats = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
+    if not stats["docs"]:
+        return tokens.select(*(F.col("n" if c != "doc_id" else c).alias(c) for c in PIECES))
     # At most 2**16 rows, one for each token id.
     counts = tokens.select("ids").mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(1 << 16, np.int64)
     for r in counts:
         df[r["term"]] = r["df"]
-    # Two numbers of each document come to the driver, which holds where it goes.
-    heads = tokens.select("_id", "n").toArrow()
-    keys = np.asarray(heads.column(0).to_numpy())
-    order = np.argsort(keys)
-    keys, sizes = keys[order], np.asarray(heads.column(1).to_numpy())[order]
-    n_docs = len(keys)
-    if not n_docs:
-        return tokens.selectExpr("doc_id", "n as start", "n as length", "n as ids_crc32", "n as doc_tokens", "n as sequence_id", "n as offset")
-    parts, first = np.unique(keys >> 33, return_index=True)
-    number = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(parts, first) for x in pair]), F.shiftright("_id", 33)) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    tokens = tokens.withColumn("_no", number)
-    index = materialize(tokens.select("_no", "ids").mapInArrow(_index(df, n_docs, float(sizes.mean())), "_no long, terms binary, weights binary"), "pack-index")
-
-    lanes, terms = Lanes(sizes, window, max(1, n_docs // docs_per_lane)), {}
-    left, m = n_docs - len(lanes.seed), PER_ROUND
-    while left:
-        fresh = sorted({*lanes.seed.tolist()} - terms.keys())
-        if fresh:
-            wanted = spark.range(1).select(F.explode(F.split(F.lit(",".join(map(str, fresh))), ",").cast("array<bigint>")).alias("_no"))
-            got = index.select("_no", "terms").join(F.broadcast(wanted), "_no").toArrow()
-            terms |= {k: np.frombuffer(t, "<u2") for k, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist())}
-        terms = {k: terms[k] for k in lanes.seed.tolist()}
-        lanes.take(*best_unused(index, [terms[k] for k in lanes.seed.tolist()], lanes.lane >= 0, df, m))
-        before, left = left, int((lanes.lane < 0).sum())
-        m = min(2 * m, MOST_PER_ROUND) if before - left < len(lanes.seed) / 2 else max(m // 2, PER_ROUND)
-    sent = spark.sparkContext.broadcast(lanes)
+    bm25 = Bm25(df, stats["docs"], stats["tokens"] / stats["docs"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [bm25.weights(np.frombuffer(x, "<u2")) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for x in got], pa.binary()) for i in (0, 1)], names=["terms", "weights"])
+
+    sample = tokens.select("ids", F.xxhash64(F.lit(10), "ids").alias("_h"), "_id").orderBy("_h", "_id").limit(pivots).select("ids")
+    sample = sample.mapInArrow(weigh, "terms binary, weights binary").collect()
+    router = Pivots(bm25, [(np.frombuffer(r["terms"], "<u2"), np.frombuffer(r["weights"], np.float32)) for r in sample])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                keys = [router.key(np.frombuffer(x, "<u2")) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["doc_id", "ids", "_id", "_key"])
+
+    placed = tokens.select("doc_id", "ids", "_id").mapInArrow(place, "doc_id long, ids binary, _id long, _key long").withColumn("_h", F.xxhash64("ids"))
+    n_parts = max(1, -(-stats["tokens"] // tokens_per_partition))
+    # The row's number in the range key lets a hot group of copies spread over partitions.
+    order = ["_key", "_h", "_id"]
+    placed = placed.repartitionByRange(int(n_parts), *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("_part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        windows, held, size = None, [], 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=PIECES)
+
+        def pack_shard() -> Iterator[pa.RecordBatch]:
+            rows, arrays = [], [ids for _, ids in held]
+            for d in fill_order(bm25.scores(arrays), [len(x) for x in arrays], window - windows.filled, window):
+                rows += windows.add(*held[d])
+            if rows:
+                yield batch_of(rows)
+
         for batch in batches:
-            own, rows = [], []
-            for i, (ids, no) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                ids = np.frombuffer(ids, "<u2")
-                for s, n, q, o in sent.value.pieces(no):
-                    own.append(i)
-                    rows.append((s, n, zlib.crc32(ids[s : s + n].astype("<u4").tobytes()), len(ids), q, o))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 6))], names=names)
-
-    return tokens.select("doc_id", "ids", "_no").mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+            for doc_id, ids, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if windows is None:
+                    windows = Windows(window, part << 40)
+                held.append((doc_id, np.frombuffer(ids, "<u2")))
+                size += len(ids) // 2
+                if len(held) == docs_per_shard or size >= SHARD_TOKENS:
+                    yield from pack_shard()
+                    held, size = [], 0
+        if held:
+            yield from pack_shard()
+        if windows is not None and windows.open:
+            yield batch_of(windows.close())
+
+    return placed.mapInArrow(run, schema)

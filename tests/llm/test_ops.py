@@ -314,25 +314,61 @@ def test_packing_scores_all_terms_of_a_seed(spark):
     assert sum(len(own) <= 2 for own in by.values()) > 0.6 * len(by)
 
 
-def test_packing_searches_the_whole_corpus_by_all_terms(spark, monkeypatch):
-    monkeypatch.setattr(packing, "DOC_BLOCK", 64)
-    monkeypatch.setattr(packing, "SEED_BLOCK", 16)
+def _bm25(docs):
+    """BM25 of every document (columns) for every document's distinct terms (rows), term by term."""
+    n, mean, df = len(docs), sum(map(len, docs)) / len(docs), {}
+    for d in docs:
+        for t in set(d):
+            df[t] = df.get(t, 0) + 1
+    out = np.zeros((n, n))
+    for j, d in enumerate(docs):
+        weight = {t: d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set(d)}
+        for i, q in enumerate(docs):
+            out[i, j] = sum(weight.get(t, 0.0) for t in set(q))
+    return out, df, mean
+
+
+def test_packing_scores_and_choices_match_brute_force():
     rng = np.random.default_rng(4)
-    docs = [np.unique(np.minimum(rng.zipf(1.3, 80), 5000)).astype("<u2") for _ in range(900)]
-    df = np.bincount(np.concatenate(docs), minlength=1 << 16)
-    weights = [rng.random(len(t)).astype("<f4") for t in docs]
-    used = rng.random(len(docs)) < 0.2
-    index = spark.createDataFrame([(i, t.tobytes(), w.tobytes()) for i, (t, w) in enumerate(zip(docs, weights))], "_no long, terms binary, weights binary").repartition(5)
-    seed, doc, score = packing.best_unused(index, docs[:40], used, df)
-    full = np.zeros((len(docs), 1 << 13))
-    for i, (t, w) in enumerate(zip(docs, weights)):
-        full[i, t] = w
-    for s in range(40):
-        want = full[:, docs[s]].sum(axis=1)
-        want[used] = -1
-        mine = doc[seed == s]
-        assert len(set(mine.tolist())) == packing.PER_ROUND and not used[mine].any()  # recall 1 against brute force
-        assert np.allclose(np.sort(want[mine]), np.sort(want)[-packing.PER_ROUND:], atol=1e-4) and np.allclose(want[mine], score[seed == s], atol=1e-4)
+    docs = [np.minimum(rng.zipf(1.3, int(rng.integers(1, 90))), 5000).tolist() for _ in range(150)] + [[7] * 40] * 3
+    want, df, mean = _bm25(docs)
+    frequencies = np.bincount(list(df), list(df.values()), minlength=1 << 16).astype(np.int64)
+    got = packing.Bm25(frequencies, len(docs), mean).scores([np.array(d, "<u2") for d in docs])
+    others = ~np.eye(len(docs), dtype=bool)  # what a document scores for itself is never asked
+    assert np.allclose(got[others], want[others], atol=1e-3)
+    # Each window's seed takes the best of what is unused, one after another.
+    sizes, room, window, used, seed, order = [len(d) for d in docs], 10, 64, set(), None, []
+    while len(order) < len(docs):
+        free = [i for i in range(len(docs)) if i not in used]
+        d = free[0] if seed is None else min(free, key=lambda i: (-got[seed, i], i))
+        order.append(d)
+        used.add(d)
+        left, seed = sizes[d], d if seed is None else seed
+        while left:
+            take = min(left, room)
+            left, room = left - take, room - take
+            if room == 0:
+                room, seed = window, d
+    assert list(packing.fill_order(got, sizes, 10, window)) == order
+
+
+def test_packing_shards_hold_neighbours(spark):
+    """Recall at 3 of the whole corpus' BM25 neighbours in a seed's shard, against shards dealt by chance."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfghjklmnp" for b in ("aro", "ent", "ilo", "uma", "ost")]
+    topics = [rng.sample(words, 12) for _ in range(30)]
+    docs = [[rng.choice(topics[i % 30]) for _ in range(60)] for i in range(900)]
+    vocabulary = {w: k for k, w in enumerate(words)}
+    arrays = [np.array([vocabulary[w] for w in d], "<u2") for d in docs]
+    df = np.bincount(np.concatenate([np.unique(a) for a in arrays]), minlength=1 << 16)
+    bm25 = packing.Bm25(df, len(docs), 60.0)
+    router = packing.Pivots(bm25, [bm25.weights(arrays[i]) for i in rng.sample(range(900), 64)])
+    shard = np.empty(900, int)
+    shard[np.argsort([router.key(a) for a in arrays], kind="stable")] = np.arange(900) // 90
+    scores = bm25.scores(arrays)
+    np.fill_diagonal(scores, -1)
+    top = np.argsort(-scores, axis=1)[:, :3]
+    assert (shard[top] == shard[:, None]).mean() > 0.5  # by chance: 0.1
 
 
 def test_packing_brings_scattered_topics_together(spark):
