@@ -52,6 +52,13 @@ def inline_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` (rows of a few numbers) with a broadcast hint if it has at most ``most_rows`` rows; a
+    larger one is left to an exchange."""
+    rows = df.limit(most_rows + 1).count()
+    return F.broadcast(df) if rows <= most_rows else df
+
+
 def count_below(values: Column, size: Column, x: Column, strict: bool = False) -> Column:
     """How many leading entries of the ascending array ``values`` are <= x (< x if strict)."""
     steps = F.transform(

@@ -82,8 +82,32 @@ def test_nearest_is_exact_with_copies_ties_and_bad_rows(spark):
             assert [(i, -s) for s, i in want] == got.pop(q)
     assert not got
     assert ann.nearest(df.where("false")).count() == 0
-    recall = ann.nearest(df, exact_rest=False).count()
-    assert recall == 9 * 5
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_windows_hold_nearest_neighbours(spark, clusters):
+    """Recall of the windows alone against brute force, and the share of the table that they meet."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((8000, 48)).astype(np.float32)
+    if clusters:
+        x = x * 0.2 + rng.standard_normal((clusters, 48)).astype(np.float32)[rng.integers(0, clusters, 8000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, query_modulus=40, curves=48, block=16, recall=0.96).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    found = 0
+    for q, near in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        found += len(set(np.argsort(-s)[:5].tolist()) & set(near))
+        assert len(near) == 5 and all(abs(s[i] - v) < 1e-6 for i, v in near.items())
+    assert len(got) == 200 and found >= 0.94 * 5 * len(got)
+    # The width of the windows: some of the table's 500 blocks on a curve.
+    rows = spark.createDataFrame([(i, 48, i % 40 == 0, v.tobytes()) for i, v in enumerate(x)], "pid long, dim long, q boolean, v binary")
+    blocks = ann._blocks(rows, "<f4", ann._centres(rows, "<f4"), 48, 16, 2)
+    reach = ann.reach_for(blocks, ann._truth(rows, "<f4", 5, 128), 0.96)
+    assert blocks.where("curve = 0").count() >= 500 and 48 * (2 * reach + 1) < (500 if clusters == 0 else 250), reach
 
 
 def test_hilbert_order_visits_neighbours():
