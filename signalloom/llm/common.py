@@ -59,6 +59,25 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def hot_keys(df: DataFrame, key: str, few: int = 100_000) -> list:
+    """Keys that hold more than a thousandth of the rows of ``df``: fewer than a thousand.  A table of up
+    to ``few`` rows has none that matter."""
+    n = df.count()
+    return [] if n <= few else [r[0] for r in df.groupBy(key).count().where(F.col("count") * 1000 > n).select(key).where(F.col(key).isNotNull()).collect()]
+
+
+def hot_join(many: DataFrame, lookup: DataFrame, key: str, hot: list, how: str = "inner", spread: int = 64) -> DataFrame:
+    """``many`` joined with ``lookup`` by ``key``; rows of the keys in ``hot`` are dealt over ``spread``
+    groups, for which the few rows of ``lookup`` that they need are repeated."""
+    if not hot:
+        return many.join(lookup, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    cold = many.where(~is_hot).join(lookup, key, how)
+    dealt = many.where(is_hot).withColumn("_deal", F.pmod(F.xxhash64(*(F.col(c) for c in many.columns)), F.lit(spread)).cast("int"))
+    repeated = lookup.where(is_hot).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return cold.unionByName(dealt.join(repeated, [key, "_deal"], how).drop("_deal"))
+
+
 def count_below(values: Column, size: Column, x: Column, strict: bool = False) -> Column:
     """How many leading entries of the ascending array ``values`` are <= x (< x if strict)."""
     steps = F.transform(

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from signalloom.llm import ann, fingerprints, langid, licenses, mixing, neardup, packing, sharding, store, token_counts, tokens
+from signalloom.llm import ann, common, fingerprints, langid, licenses, mixing, neardup, packing, sharding, store, token_counts, tokens
 from signalloom.llm.queries import MIX_WEIGHTS, source_domain, tokenizer
 
 RNG = random.Random(1)
@@ -206,6 +206,32 @@ def test_near_duplicates_match_brute_force(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, docs, empty):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a, 1), (7, b, 2), (7, b, 3), (8, b + " end", 4), (None, a, 5), (None, "x y z", 6), (None, "x y z", 7), (9, None, 8), (9, "", 9), (10, " ", 10)]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, hash int"))
+    assert got.columns == ["doc_id", "text", "hash"]
+    kept = sorted((x["doc_id"] or 0, x["text"] or "") for x in got.collect())
+    # One of the component {7: b, 8: b + end}: the smallest id.
+    assert kept == sorted([(7, a), (7, b), (0, "x y z"), (9, ""), (9, ""), (10, " ")])
+    assert neardup.keep_one(empty).count() == 0
+    mine = neardup.keep_one(docs)
+    assert mine.columns == docs.columns and {x["doc_id"] for x in mine.collect()} == {0, 1, 2, 3, 4, 6, 7, 9, 12, 13, 14, 15, 16}
+
+
+def test_many_copies_without_an_id(spark):
+    """Rows without an id take the time that rows with one take, and hot keys are dealt."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(base[:20] + [f"x{i}"] + base[20:])) for i in range(3000)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(x) for x in neardup.near_duplicates(rows).groupBy("component_id", "kept").count().collect()] == [(None, False, 3000)]
+    many, lookup = spark.range(5000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as x"), spark.range(0, 5000, 2).selectExpr("id as k", "id * 2 as y").union(spark.sql("select 1L, 7L"))
+    hot = common.hot_keys(many, "k", few=10)
+    assert hot == [1]
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.hot_join(many, lookup, "k", hot, how).collect())) == sorted(map(str, many.join(lookup, "k", how).collect()))
+
+
 def test_license_alignment(docs, empty):
     got = {x["doc_id"]: x for x in licenses.license_scan(docs).collect()}
     assert got[15]["license"] == "MIT" and got[15]["coverage"] == 1.0 and got[0]["license"] is None
