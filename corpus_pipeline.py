@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalloom.llm.common import materialize
 from signalloom.llm.langid import UNDETERMINED, identify
 from signalloom.llm.mixing import mix
-from signalloom.llm.neardup import near_duplicates
+from signalloom.llm.neardup import keep_one
 from signalloom.llm.packing import pack
 from signalloom.llm.queries import MIX_WEIGHTS, source_domain, tokenizer
 
@@ -23,14 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies.  Rows without an id cannot be grouped:
-    only exact copies among them go."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if not repeated.isEmpty():
-        with_id = with_id.dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """Keep one document of each group of near copies; documents that only share an id stay."""
+    return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
