@@ -13,6 +13,7 @@ number of shards grows with the input.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS = 1 << 23
 #: Terms in at least so many documents of a shard are scored by matrix products, the others by postings.
 COMMON, COLUMNS = 32, 4096
+#: Rows of the sample that sets the bounds of the range partitions: for each partition, and at most.
+BOUND_ROWS, MOST_BOUND_ROWS = 100, 1_000_000
+PLACED = "doc_id long, ids binary, _id long, _h long, _key long, _part int"
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -111,8 +115,9 @@ class Pivots:
     def key(self, ids: np.ndarray) -> int:
         terms, weights = self.bm25.weights(ids)
         pivot = int(self.matrix[self.row[terms]].sum(axis=0).argmax())
-        heavy = [*terms[np.lexsort((terms, -weights))[:2]].tolist(), 0]
-        return pivot << 32 | heavy[0] << 16 | heavy[1]
+        first = int(weights.argmax())
+        weights[first] = -1
+        return pivot << 32 | int(terms[first]) << 16 | int(terms[weights.argmax()])
 
 
 class Windows:
@@ -199,13 +204,19 @@ def pack(
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 keys = [router.key(np.frombuffer(x, "<u2")) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["doc_id", "ids", "_id", "_key"])
+                ranges = [bisect_right(bounds, k) for k in zip(keys, part.column(3).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], names=["doc_id", "ids", "_id", "_h", "_key", "_part"])
 
-    placed = tokens.select("doc_id", "ids", "_id").mapInArrow(place, "doc_id long, ids binary, _id long, _key long").withColumn("_h", F.xxhash64("ids"))
+    rows = tokens.select("doc_id", "ids", "_id", F.xxhash64("ids").alias("_h"))
     n_parts = max(1, -(-stats["tokens"] // tokens_per_partition))
-    # The row's number in the range key lets a hot group of copies spread over partitions.
-    order = ["_key", "_h", "_id"]
-    placed = placed.repartitionByRange(int(n_parts), *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("_part"))
+    # Bounds of the ranges from a sample, which sets their evenness and nothing else.  The row's number in
+    # the order lets a hot group of copies spread over partitions.
+    order, bounds = ["_key", "_h", "_id"], []
+    if n_parts > 1:
+        share = min(1.0, BOUND_ROWS * n_parts / stats["docs"], MOST_BOUND_ROWS / stats["docs"])
+        some = sorted(tuple(r) for r in rows.sample(share, 10).mapInArrow(place, PLACED).select(*order).collect())
+        bounds = [some[len(some) * i // n_parts] for i in range(1, n_parts)] if some else []
+    placed = rows.mapInArrow(place, PLACED).repartitionById(len(bounds) + 1, "_part").sortWithinPartitions(*order).select("doc_id", "ids", "_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, held, size = None, [], 0
