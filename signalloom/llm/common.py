@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most buckets for which per-bucket metadata (a few longs each) is held on the driver.
 MAX_BUCKETS = 65_536
+#: Rows of the sample that sets the bounds of ranges, for each range.
+BOUND_ROWS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,23 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def salted_join(many: DataFrame, lookup: DataFrame, keys: list[str], spread: int = 16) -> DataFrame:
+    """Inner join with a lookup of one row a key: broadcast if it is small, else every key is dealt."""
+    rows = lookup.limit(100_001).count()
+    if rows <= 100_000:
+        return many.join(F.broadcast(lookup), keys)
+    dealt = many.withColumn("_deal", F.pmod(F.xxhash64(*(F.col(c) for c in many.columns)), F.lit(spread)).cast("int"))
+    return dealt.join(lookup.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), [*keys, "_deal"]).drop("_deal")
+
+
 def hot_keys(df: DataFrame, key: str, few: int = 100_000) -> list:
     """Keys that hold more than a thousandth of the rows of ``df``: fewer than a thousand.  A table of up
     to ``few`` rows has none that matter."""
@@ -95,15 +114,18 @@ def count_below(values: Column, size: Column, x: Column, strict: bool = False) -
 def range_splitters(df: DataFrame, col: str, rows_per_bucket: int) -> list[int]:
     """Ascending bounds that cut ``df`` by ``col`` into ranges of about ``rows_per_bucket`` rows.
 
-    At most MAX_BUCKETS bounds come to the driver; beyond that the ranges grow, no row is lost.
+    They are quantiles of a sample by hash, of about BOUND_ROWS rows a range, which sets the ranges'
+    evenness and nothing else.  At most MAX_BUCKETS bounds come to the driver; beyond that the
+    ranges grow, no row is lost.
     """
     n = df.count()
     buckets = min(MAX_BUCKETS, max(1, n // rows_per_bucket))
     if buckets < 2:
         return []
-    probs = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(F.col(col), probs, min(2_000_000, 20 * buckets)).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    share = BOUND_ROWS * buckets / n
+    chosen = F.pmod(F.xxhash64(F.lit(1), F.col(col)), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))
+    some = sorted(r[0] for r in df.where(chosen).groupBy(col).count().select(col).collect())
+    return sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []
 
 
 def range_bucket(col: Column, splitters: list[int]) -> Column:

@@ -3,8 +3,8 @@
 Leaves are sources below languages below domains.  A token budget flows down the tree by weight;
 what a child cannot take (its tokens times ``max_epochs``) goes to its siblings, and only what
 all of them cannot take to the parent's siblings.  A leaf takes whole epochs and then the
-token-prefix of one more, in that epoch's seeded order.  DataFrame functions only; the driver
-sees one row per leaf and per range of a leaf's order.
+token-prefix of one more, in that epoch's seeded order.  DataFrame functions only; no row of a leaf
+or document reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import inline_table
+from .common import fresh, materialize, salted_join
 
-#: Documents of a leaf that lie in one range of its order, about.
-ROWS_PER_RANGE = 2_000
+LEAF = ["d", "l", "s"]
+#: A leaf's seeded order is cut at so many ranges of its keys, then one of them again, until a range
+#: has few rows.
+RANGE_BITS, ROWS_PER_RANGE = 10, 256
 
 
 def share_out(budget: float, weights: dict[str, float], room: dict[str, float]) -> dict[str, float]:
@@ -37,7 +39,7 @@ def share_out(budget: float, weights: dict[str, float], room: dict[str, float])
 
 
 def leaf_budgets(room: dict[tuple, float], weights: list[dict], budget: float) -> dict[tuple, float]:
-    """Budgets of the leaves of a tree given by their paths, level by level."""
+    """Budgets of the leaves of a tree given by their paths, level by level (in memory)."""
     if not weights:
         return {path: min(budget, r) for path, r in room.items()}
     below: dict = {}
@@ -48,6 +50,35 @@ def leaf_budgets(room: dict[tuple, float], weights: list[dict], budget: float) -
     return {(k, *p): x for k, v in below.items() for p, x in leaf_budgets(v, weights[1:], shares[k]).items()}
 
 
+def budgets(leaves: DataFrame, weights: list[dict], share: float) -> DataFrame:
+    """``leaves`` (d, l, s, room, t) with ``budget``: the same as ``leaf_budgets``, for any number of leaves.
+
+    Among siblings those that need the least for their weight fill up first: in the order of room
+    by weight a child is full if its part of what those before it leave is as much as its room.
+    """
+    total = leaves.agg(F.sum("t").alias("t")).select((F.lit(share) * F.col("t")).alias("budget"))
+    parents, path = total.withColumn("_", F.lit(0)), []
+    for name, own in zip(LEAF, weights):
+        above, path = list(path), [*path, name]
+        weight = F.lit(float(own.get("*", 1.0)))
+        for key, value in own.items():
+            if key != "*":
+                weight = F.when(F.col(name) == key, F.lit(float(value))).otherwise(weight)
+        node = leaves.groupBy(*path).agg(F.sum("room").alias("room")).withColumn("w", weight).withColumn("_", F.lit(0))
+        node = node.join(parents, [*above, "_"])
+        open_ = (F.col("w") > 0) & (F.col("room") > 0)
+        order = Window.partitionBy(*above, "_", open_).orderBy(F.try_divide("room", "w"), name)
+        before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        behind = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+        node = node.withColumns({"left": F.greatest(F.col("budget") - before, F.lit(0.0)), "behind": behind})
+        node = node.withColumn("full", open_ & (F.col("left") * F.col("w") >= F.col("room") * F.col("behind")))
+        # What a unit of weight gets: as the first child says that is not full.
+        rate = F.min_by(F.try_divide("left", "behind"), F.struct(F.try_divide("room", "w"), name)).over(Window.partitionBy(*above, "_", open_, "full"))
+        got = F.when(~open_, F.lit(0.0)).when(F.col("full"), F.col("room")).otherwise(F.least("room", rate * F.col("w")))
+        parents = node.select(*path, "_", got.alias("budget"))
+    return leaves.join(parents.drop("_"), LEAF)
+
+
 def mix(
     docs: DataFrame, domain: Column, weights: list[dict], share: float = 0.6, max_epochs: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", source_col: str = "source",
@@ -57,46 +88,49 @@ def mix(
     ``weights``: for domains, languages and sources a dict of weights, "*" for the others.  The
     budget is ``share`` of all tokens; a document's tokens are a quarter of its UTF-8 bytes, at
     least one.  Returns the input rows chosen, all columns, plus ``_epoch``, ``_domain`` and
-    ``_tokens``; a document may return in several epochs.  The chosen tokens never exceed a leaf's
-    budget.  Null domain, language or source: the leaf "".  Null text: one token.  Repeated rows
-    count each; equal order keys are ordered by id, then by text.  Empty table: no rows.
+    ``_tokens`` (with more underscores in front where the input has such a column); a document may
+    return in several epochs.  The chosen tokens never exceed a leaf's budget.  Null domain, language
+    or source: the leaf "".  Null text: one token.  Repeated rows count each; equal order keys are
+    ordered by id, then by text; rows without an id are ordered by where they lie.  Empty table: no rows.
     """
-    leaf = ["_d", "_l", "_s"]
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.withColumns({
-        "_d": name(domain), "_l": name(F.col(lang_col)), "_s": name(F.col(source_col)),
-        "_tokens": F.greatest(F.ceil(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) / 4), F.lit(1)).cast("long"),
-    })
-    totals = rows.groupBy(*leaf).agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")).collect()
-    have = {(r["_d"], r["_l"], r["_s"]): r["t"] for r in totals}
-    size = {(r["_d"], r["_l"], r["_s"]): r["n"] for r in totals}
-    budgets = leaf_budgets({p: t * max_epochs for p, t in have.items()}, weights, share * sum(have.values()))
-
-    spark, plan = docs.sparkSession, "_d:string,_l:string,_s:string,_full:int,_ranges:int"
-    leaves = []
-    for p, t in have.items():
-        leaves.append({"_d": p[0], "_l": p[1], "_s": p[2], "_full": int(budgets[p] // t), "_ranges": max(1, size[p] // ROWS_PER_RANGE)})
-    key = F.xxhash64(F.lit(seed), "_full", F.col(id_col), "_tokens")
-    placed = rows.join(F.broadcast(inline_table(spark, leaves, plan)), leaf)  # one row per leaf
-    placed = placed.withColumn("_key", key).withColumn("_range", F.pmod(F.shiftright("_key", 16), F.col("_ranges")).cast("int"))
-    sums: dict[tuple, dict[int, int]] = {}
-    for r in placed.groupBy(*leaf, "_range").agg(F.sum("_tokens").alias("t")).collect():
-        sums.setdefault((r["_d"], r["_l"], r["_s"]), {})[r["_range"]] = r["t"]
-    cuts = []
-    for p, own in sums.items():
-        left = budgets[p] - have[p] * int(budgets[p] // have[p])
-        for k in sorted(own):
-            if own[k] > left:
-                break
-            left -= own[k]
-        else:
-            k = max(own) + 1
-        cuts.append({"_d": p[0], "_l": p[1], "_s": p[2], "_cut": k, "_left": int(left)})
-    placed = placed.join(F.broadcast(inline_table(spark, cuts, "_d:string,_l:string,_s:string,_cut:int,_left:bigint")), leaf)
-    out = [*docs.columns, F.col("_d").alias("_domain"), "_tokens"]
-    whole = placed.withColumn("_n", F.col("_full") + F.when(F.col("_range") < F.col("_cut"), 1).otherwise(0)).where("_n > 0")
-    whole = whole.select(*out, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_epoch"))
-    # Only one range of each leaf is cut inside.
-    running = F.sum("_tokens").over(Window.partitionBy(*leaf).orderBy("_key", id_col, text_col).rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where(F.col("_range") == F.col("_cut")).withColumn("_sum", running).where("_sum <= _left").select(*out, F.col("_full").alias("_epoch"))
-    return whole.union(edge)
+    tokens = F.greatest(F.ceil(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) / 4), F.lit(1)).cast("long")
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name(domain).alias("d"), name(F.col(lang_col)).alias("l"), name(F.col(source_col)).alias("s"),
+        tokens.alias("tokens"), F.col(id_col).alias("id"), place.alias("place"),
+    )
+    few = rows.select(*LEAF, "tokens", "id", "place")
+    leaves = few.groupBy(*LEAF).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    leaves = materialize(leaves.withColumn("room", (F.col("t") * max_epochs).cast("double")), "mix-leaves")
+    plan = budgets(leaves, weights, share).withColumn("full", F.floor(F.col("budget") / F.col("t")).cast("int"))
+    # ``cut``: the range of the epoch's order that the budget ends in; ``left``: what is left for it.
+    plan = materialize(plan.select(*LEAF, "n", "full", F.lit(0).cast("long").alias("cut"), (F.col("budget") - F.col("full") * F.col("t")).cast("long").alias("left")), "mix-plan")
+    key = F.xxhash64(F.lit(seed), "full", "id", "tokens", "place")
+
+    def at(level: int) -> Column:
+        return F.call_function("shiftrightunsigned", key, F.lit(64 - RANGE_BITS * level)) if level else F.lit(0).cast("long")
+
+    level, most = 0, plan.agg(F.max("n")).first()[0] or 0
+    while most >> (RANGE_BITS * level) > ROWS_PER_RANGE and level < 6:
+        level += 1
+        inside = salted_join(few, plan, LEAF).where(at(level - 1) == F.col("cut"))
+        sums = inside.groupBy(*LEAF, at(level).alias("range")).agg(F.sum("tokens").alias("t"))
+        up_to = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))  # 2**RANGE_BITS rows at most
+        sums = salted_join(sums.withColumn("up_to", up_to), plan.select(*LEAF, "left"), LEAF)
+        over = F.col("up_to") > F.col("left")
+        found = sums.groupBy(*LEAF).agg(F.min(F.when(over, F.col("range"))).alias("new"), F.max(F.when(~over, F.col("up_to"))).alias("taken"))
+        # A budget that covers all ranges ends before the first range after them.
+        after = (F.col("cut") + 1) * (1 << RANGE_BITS)
+        plan = plan.join(found, LEAF, "left").select(
+            *LEAF, "n", "full", F.coalesce("new", after).alias("cut"), (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left")
+        )
+        plan = materialize(plan, "mix-plan")
+    placed = salted_join(rows, plan, LEAF).withColumns({"key": key, "range": at(level)})
+    whole = placed.withColumn("times", F.col("full") + F.when(F.col("range") < F.col("cut"), 1).otherwise(0)).where("times > 0")
+    whole = whole.select("row", "d", "tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
+    # Only one small range of each leaf is cut inside.
+    running = F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("key", "id", F.col("row").getField(text_col)).rowsBetween(Window.unboundedPreceding, 0))
+    edge = placed.where(F.col("range") == F.col("cut")).withColumn("sum", running).where(F.col("sum") <= F.col("left")).select("row", "d", "tokens", F.col("full").alias("epoch"))
+    names = [fresh(c, docs.columns) for c in ("_epoch", "_domain", "_tokens")]
+    return whole.union(edge).select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(n) for c, n in zip(("epoch", "d", "tokens"), names)))
