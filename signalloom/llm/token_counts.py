@@ -2,7 +2,9 @@
 
 The distinct pre-tokens of a batch go into a trie, level by level; the best segmentation score
 of a prefix depends on the prefix alone, so it is computed once per trie node, for all
-pre-tokens that share it, and a pre-token's count of pieces is stored at its terminal node.
+pre-tokens that share it, and a pre-token's count of pieces is stored at its terminal node.  Of a
+pre-token of more than LEVELS characters the beginning lies in the trie and the rest is scored on
+its own, from the scores at the beginning's end.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MAX_CACHED = 400_000
+#: Characters of a pre-token that lie in the trie, and those of all words of one trie.
+LEVELS, TRIE_CHARS = 256, 1 << 20
 
 
 def unigram_vocabulary(model_path: str) -> dict[str, float]:
@@ -33,6 +37,7 @@ class TrieCounter:
     token of its own, scored ``unknown`` (10 below the least piece)."""
 
     def __init__(self, vocabulary: dict[str, float]):
+        self.vocabulary = vocabulary
         # Vocabulary as a trie of reversed pieces: sorted (state, character) pairs to states.
         children: dict[tuple[int, str], int] = {}
         score = [-np.inf]
@@ -60,6 +65,7 @@ class TrieCounter:
     def _count_trie(self, words: list[str]) -> np.ndarray:
         """Token counts of distinct non-empty words, one level of their trie after another."""
         codes = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for w in words]
+        codes = [c[:LEVELS] for c in codes]
         lengths = np.array([len(c) for c in codes])
         order = np.argsort(lengths, kind="stable")
         flat = np.concatenate([codes[i] for i in order])
@@ -90,17 +96,52 @@ class TrieCounter:
             pieces.append(count)
             ends = size == depth
             out[order[ends]] = count[node[ends]]
+        for i in np.flatnonzero(size == LEVELS).tolist():
+            word = words[order[i]]
+            if len(word) > LEVELS:
+                at, scores, counts = int(node[i]), [], []
+                for depth in range(LEVELS, max(0, LEVELS - self.longest) - 1, -1):
+                    scores.append(float(best[depth][at]))
+                    counts.append(int(pieces[depth][at]))
+                    at = int(parents[depth][at])
+                out[order[i]] = self._count_rest(word, scores[::-1], counts[::-1])
         return out
 
+    def _count_rest(self, word: str, scores: list[float], counts: list[int]) -> int:
+        """Pieces of a word whose last known prefixes (up to LEVELS) have these scores and counts."""
+        get, longest = self.vocabulary.get, self.longest
+        for end in range(LEVELS + 1, len(word) + 1):
+            top, count = scores[-1] + self.unknown, counts[-1] + 1
+            for n in range(1, min(longest, len(scores)) + 1):
+                piece = get(word[end - n : end])
+                if piece is not None:
+                    value, pieces = scores[-n] + piece, counts[-n] + 1
+                    if value > top or (value == top and pieces < count):
+                        top, count = value, pieces
+            scores.append(top)
+            counts.append(count)
+            if len(scores) > 4096:
+                del scores[: -longest - 1], counts[: -longest - 1]
+        return counts[-1]
+
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each whole text; each white-space separated word is a pre-token behind MARK."""
         words = [(t or "").split() for t in texts]
         new = sorted(set().union(*words).difference(self.known)) if words else []
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        at = 0
+        while at < len(new):
+            end, chars = at, 0
+            while end < len(new) and (end == at or chars + min(len(new[end]), LEVELS) <= TRIE_CHARS):
+                chars += min(len(new[end]), LEVELS) + 1
+                end += 1
+            part = new[at:end]
             self.known.update(zip(part, self._count_trie([MARK + w for w in part]).tolist()))
+            at = end
         get = self.known.__getitem__
         out = [sum(map(get, w)) for w in words]
+        for w in new:
+            if len(w) > LEVELS:
+                del self.known[w]
         if len(self.known) > MAX_CACHED:
             for w in list(self.known)[MAX_CACHED // 2 :]:
                 del self.known[w]
@@ -112,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float], id_col: str = "d
 
     A null, empty or blank text has no tokens.  Null ids and repeated rows are counted like any
     row; an empty table gives no rows; other columns are ignored.  No exchange: each task counts
-    its own rows, with tries of bounded size.
+    its own rows, with tries of at most TRIE_CHARS nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
