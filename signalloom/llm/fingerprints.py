@@ -4,7 +4,9 @@ A text is cut into words, its k-mers of words are numbered by occurrence, and fo
 ``components`` orders of the numbered k-mers the ``per_component`` (two) smallest are taken, put
 back in text order and hashed together.  The orders are rotations of one hash order
 (pi_j(x) = h(x) - j * 2**64 / components, modulo 2**64): one sort serves them all, and short
-texts never leave a component empty.  Because a component remembers the order of its k-mers,
+texts never leave a component empty.  The estimate's deviation from that of independent orders is
+measured in the tests: as large for long texts, larger where there are fewer k-mers than
+components.  Because a component remembers the order of its k-mers,
 it is sensitive to edit distance and not only to which k-mers occur.
 """
 
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import count_below, long_array, range_bucket, range_splitters
 
-#: Low bits of a packed k-mer hold its position, high bits its hash.
-POSITION_BITS = 24
+#: Low bits of a packed k-mer hold its position, high bits its hash; a string of 2 GB has no more words.
+POSITION_BITS = 30
 POSITION_MASK = (1 << POSITION_BITS) - 1
 #: Words with more characters are cut into overlapping pieces.
 LONG_WORD = 64
