@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from .common import fresh
 
 #: Undetermined: null text or no letter.
 UNDETERMINED = "und"
@@ -129,7 +132,8 @@ def identify(
     Trains on at most ``per_lang`` labelled documents of each language, whole texts, those of up to
     ``max_chars`` characters before longer ones, of those whose crc32(id as text) mod 4 is not 2; only their text and language are
     used, and predictions see only the text.  Returns doc_id, held_out, lang_pred, score, or
-    with ``keep`` all input columns plus ``_lang_pred`` and ``_score``.  A null text, or one
+    with ``keep`` all input columns plus ``_lang_pred`` and ``_score`` (with more underscores in front
+    where the input has such a column).  A null text, or one
     without a letter, is ``und`` with score 0; null ids are not held out; a table without labels
     gives ``und`` everywhere; repeated rows get the same prediction; an empty table no rows.
     """
@@ -145,9 +149,11 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "_lang_pred", "_score"])
 
     if keep:
-        rows = docs.withColumn("_text", F.col(text_col))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string, _score double"
-        return rows.mapInArrow(score, schema)
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("_text"))
+        schema = StructType([StructField("row", StructType(docs.schema.fields)), StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+        names = [(c, fresh(c, docs.columns)) for c in ("_lang_pred", "_score")]
+        told = rows.mapInArrow(score, schema)
+        return told.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(n) for c, n in names))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),

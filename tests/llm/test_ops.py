@@ -446,3 +446,204 @@ def test_pipeline(spark):
     rows = [(x["doc_id"], x["text"]) for x in told.collect()]
     assert {x["doc_id"] for x in kept.collect()} == {c for _, _, c in _components(rows, 80)} | {d for d, t in rows if not _sets(t)}
     assert corpus_pipeline.pack_sequences(spark, mixed, "").select("doc_id").distinct().count() == mixed.count()
+
+
+def _segment(word, vocabulary, unknown):
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        options = [(best[-1][0] + unknown, best[-1][1] + 1)]
+        for n in range(1, min(end, 24) + 1):
+            piece = vocabulary.get(word[end - n : end])
+            if piece is not None:
+                options.append((best[end - n][0] + piece, best[end - n][1] + 1))
+        best.append(min(options, key=lambda o: (-o[0], o[1])))
+    return best[-1][1]
+
+
+def test_token_counts_match_a_plain_recurrence():
+    vocabulary = {w: -float(len(w)) ** 0.5 - i * 0.01 for i, w in enumerate(["a", "b", "ab", "ba", "aab", "bb", "abab", "▁", "▁a", "日", "日本", "é"])}
+    counter, unknown = token_counts.TrieCounter(vocabulary), min(vocabulary.values()) - 10
+    words = ["".join(RNG.choices("abc日本é", k=RNG.randint(1, 30))) for _ in range(300)] + ["".join(RNG.choices("abc日本é", k=n)) for n in (255, 256, 257, 700, 9000)]
+    words += [words[-1][:300], words[-1][:256] + "ab"]
+    assert counter.count(words) == [_segment("▁" + w, vocabulary, unknown) for w in words]
+    assert counter.count([" ".join(words)]) == [sum(_segment("▁" + w, vocabulary, unknown) for w in words)] and max(map(len, counter.known)) <= 256
+
+
+def _order_minhash(text, k=3, components=64):
+    """The fingerprint by its definition, with the public xxhash library."""
+    import re
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def chain(*values):
+        h = 42
+        for kind, v in values:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<q" if kind == "l" else "<i", v), seed=h)
+        return signed(h)
+
+    words = [p for w in re.split("[ \\t\\n\\x0b\\x0c\\r]", text or "") if w for p in ([w[i : i + 4] for i in range(len(w) - 3)] if len(w) > 64 else [w])]
+    words += [""] * (k - len(words) if 0 < len(words) < k else 0)
+    bits, seen, packed = fingerprints.POSITION_BITS, {}, []
+    for i in range(len(words) - k + 1):
+        h = chain(*(("s", w) for w in words[i : i + k])) >> bits
+        o = seen[h] = seen.get(h, -1) + 1
+        packed.append(((chain(("l", h), ("i", o)) >> bits if o else h) << bits) | i)
+    packed.sort()
+    out = []
+    for j in range(components if packed else 0):
+        first = sum(x < -(1 << 63) + j * ((1 << 64) // components) for x in packed)
+        x, y = packed[first % len(packed)], packed[(first + 1) % len(packed)]
+        x, y = sorted((x, y), key=lambda v: v & fingerprints.POSITION_MASK)
+        out.append(f"{chain(('l', x >> bits), ('l', y >> bits)) & 0xFFFF:04x}")
+    return "".join(out)
+
+
+def test_fingerprints_match_their_definition(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \t", "one", "a b", "a b c", "a b c a b c a b c a b c", "x" * 200 + " y z", " ".join(rng.choice("abcd") for _ in range(300)), "é日 本\x0bq\rw"]
+    texts += [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (5, 64, 700)]
+    rows = fingerprints.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", "f").collect()
+    assert {x["id"]: x["f"] for x in rows} == {i: _order_minhash(t) for i, t in enumerate(texts)}
+
+
+def test_likeness_estimates_order_minhash_similarity():
+    """The estimate's deviation, for texts of distinct words whose similarity has a closed form."""
+    rng, errors = np.random.default_rng(1), {20: [], 400: [], 3000: []}
+    for n, own in errors.items():
+        for edits in (1, 3, n // 10, n // 4) * 8:
+            a = rng.integers(0, 1 << 40, n)
+            b = a.copy()
+            b[rng.choice(n, edits, replace=False)] = rng.integers(0, 1 << 40, edits)
+            fa, fb = (_order_minhash(" ".join(map(str, x)), 1) for x in (a, b))
+            own.append(np.mean([fa[i : i + 4] == fb[i : i + 4] for i in range(0, 256, 4)]) - _two_of_union(n, edits))
+    # 64 independent orders would deviate by at most 0.0625.
+    assert np.std(errors[3000]) < 0.07 and np.std(errors[400]) < 0.08 and np.std(errors[20]) < 0.16
+    assert all(abs(np.mean(e)) < 0.05 for e in errors.values())
+
+
+def _two_of_union(n, edits):
+    """The two smallest of both sets agree if the two smallest of the union are common (the order is too)."""
+    common, union = n - edits, n + edits
+    return common * (common - 1) / (union * (union - 1))
+
+
+def test_folded_weights_are_the_kernel_machine():
+    """Scores of the folded model against kernel matrices, landmarks and ridge regression written out."""
+    rows = [(" ".join(RNG.choices(WORDS[: 6 + 2 * (i % 3)], k=8)) + f" {i}", f"l{i % 3}") for i in range(40)]
+    model = langid.fit(rows, dims=1 << 14, landmarks=9, ridge=1e-3)
+
+    def features(t):
+        x = np.zeros(1 << 14, np.uint8)
+        langid.presence(t, x)
+        return {*np.flatnonzero(x).tolist()}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    by = {y: [features(t) for t, z in rows if z == y] for y in ("l0", "l1", "l2")}
+    marks = [by[y][r] for r in range(3) for y in ("l0", "l1", "l2")]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    whiten = vectors / np.sqrt(values)
+    train = kernel([features(t) for t, _ in rows], marks) @ whiten
+    y = np.array([[1.0 if z == k else -1.0 for k in ("l0", "l1", "l2")] for _, z in rows])
+    f = train - train.mean(axis=0)
+    beta = np.linalg.solve(f.T @ f + 1e-3 * len(rows) * np.eye(f.shape[1]), f.T @ (y - y.mean(axis=0)))
+    for text in ["alpha beta der", "theta und die", "gamma", rows[5][0]]:
+        z = (kernel([features(text)], marks) @ whiten - train.mean(axis=0)) @ beta + y.mean(axis=0)
+        e = np.exp(6 * (z - z.max()))[0]
+        lang, score = model.predict([text])
+        assert lang == [f"l{int(e.argmax())}"] and abs(score[0] - e.max() / e.sum()) < 1e-3
+
+
+def test_budgets_of_a_table_are_those_in_memory(spark):
+    rng = random.Random(9)
+    for _ in range(6):
+        have = {(f"d{rng.randint(0, 2)}", f"l{rng.randint(0, 3)}", f"s{rng.randint(0, 5)}"): rng.randint(1, 200) for _ in range(30)}
+        weights = [{"d0": 0.5, "*": rng.choice([0.2, 1.0])}, {"l1": 0.0, "*": 1.0}, {"s3": 4.0, "*": 1.0}]
+        epochs, share = rng.choice([(1, 0.6), (2, 0.9), (1, 1.0)])
+        rows = spark.createDataFrame([(*k, t, float(t * epochs)) for k, t in have.items()], "d string, l string, s string, t long, room double")
+        got = {(x["d"], x["l"], x["s"]): x["budget"] for x in mixing.budgets(rows, weights, share).collect()}
+        want = mixing.leaf_budgets({k: float(t * epochs) for k, t in have.items()}, weights, share * sum(have.values()))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_mixing_takes_prefixes_of_the_seeded_order(spark, monkeypatch):
+    """Chosen documents of a leaf against its whole seeded order; columns that clash with inner names."""
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 2)
+    names = ["doc_id", "text", "lang", "source", "d", "l", "s", "tokens", "row", "key", "range", "_epoch", "_Domain", "id"]
+    rows = [(i, "y" * (i * 7 % 90), "en", f"src{i % 3}", *[str(i)] * 10) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names[4:]))
+    out = mixing.mix(docs, source_domain(docs.source), MIX_WEIGHTS)
+    assert out.columns == [*names, "__epoch", "__domain", "_tokens"] and out.where("d <> cast(doc_id as string)").count() == 0
+    chosen = {x["doc_id"] for x in out.collect()}
+    tokens_of = {i: max(1, -(-(i * 7 % 90) // 4)) for i in range(3000)}
+    key = spark.range(3000).selectExpr("id", "xxhash64(7, 0, id, cast(greatest(ceil((id * 7 % 90) / 4), 1) as long), cast(null as long)) as k").collect()
+    order = {x["id"]: x["k"] & (1 << 64) - 1 for x in key}
+    have = {(("web", "news", "reference")[s], "en", f"src{s}"): sum(tokens_of[i] for i in range(s, 3000, 3)) for s in range(3)}
+    budget = mixing.leaf_budgets({k: float(v) for k, v in have.items()}, MIX_WEIGHTS, 0.6 * sum(have.values()))
+    for s, leaf in enumerate(have):
+        if budget[leaf] < have[leaf]:
+            left, want = int(budget[leaf]), set()
+            for i in sorted(range(s, 3000, 3), key=order.get):
+                left -= tokens_of[i]
+                if left < 0:
+                    break
+                want.add(i)
+            assert len(chosen & set(range(s, 3000, 3)) ^ want) <= 2  # inside the last range keys are ordered as signed numbers
+        else:
+            assert chosen >= set(range(s, 3000, 3))
+
+
+def test_hypergeometric_law():
+    import math
+
+    def log_probability(x, good, bad, draws):
+        p = draws / (good + bad)
+        q = (good + bad - draws) / (good + bad)
+        return sharding._binomial_log(x, good, p, q) + sharding._binomial_log(draws - x, bad, p, q) - sharding._binomial_log(draws, good + bad, p, q)
+
+    for good, bad, draws in [(5, 9, 6), (40, 3, 11), (1000, 70, 500)]:
+        for x in range(max(0, draws - bad), min(good, draws) + 1):
+            exact = math.comb(good, x) * math.comb(bad, draws - x) / math.comb(good + bad, draws)
+            assert abs(math.exp(log_probability(x, good, bad, draws)) - exact) <= 1e-12 + 1e-10 * exact
+    good, bad, draws = 10**9, 39 * 10**9, 4 * 10**7
+    mode, total = 10**6, 0.0
+    p = up = math.exp(log_probability(mode, good, bad, draws))
+    total, x, y, down = p, mode, mode, p
+    for _ in range(12_000):
+        up *= (good - x) * (draws - x) / ((x + 1) * (bad - draws + x + 1))
+        x += 1
+        down *= y * (bad - draws + y) / ((good - y + 1) * (draws - y + 1))
+        y -= 1
+        total += up + down
+    assert abs(total - 1) < 1e-9
+
+
+def test_sharding_numbers_equal_rows(spark):
+    rows = spark.createDataFrame([(None, None)] * 900 + [(1, "a")] * 50 + [(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    got = sharding.shuffle_into_shards(rows, n_shards=10, rows_per_block=50).collect()
+    assert len(got) == 1000 and all(sorted(x["slot"] for x in got if x["shard"] == s) == list(range(100)) for s in range(10))
+    assert sorted((x["doc_id"] or -1, x["size"], x["text_crc32"]) for x in got) == sorted((i or -1, 16 + len(t or ""), zlib.crc32((t or "").encode())) for i, t in map(tuple, rows.collect()))
+
+
+def test_language_id_keeps_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, "the cat", "en", "a", 0.5, (1,)), (2, None, None, "b", None, None)], "doc_id long, text string, lang string, _text string, _SCORE double, `a b` struct<`x y`: int>")
+    got = langid.identify(rows, keep=True)
+    assert got.columns == [*rows.columns, "_lang_pred", "__score"] and {x["_text"]: x["_lang_pred"] for x in got.collect()}["b"] == "und"
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, empty):
+    """Nulls, empties, repeats, clashing names and an empty table in every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        got = stage(spark, docs, "")
+        if name != "packing":
+            assert got.columns == docs.columns
+    assert {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, "").collect()}.isdisjoint({0, 1, 2, 3})
+    assert corpus_pipeline.pack_sequences(spark, docs, "").groupBy().sum("length").first()[0] > 30_000
