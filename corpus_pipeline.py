@@ -19,7 +19,8 @@ MIN_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told."""
     told = identify(docs, keep=True)
-    return told.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = told.columns[-2:]
+    return told.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
