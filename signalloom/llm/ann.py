@@ -26,6 +26,8 @@ DIMS, BITS = 12, 5
 #: Bytes of the curves' order in one range partition, about.
 PARTITION_BYTES = 32 << 20
 SALTS = 16
+#: Blocks of a curve that one task walks in order.
+ZONE = 64
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -234,8 +236,33 @@ def reach_for(blocks: DataFrame, truth: list[tuple[int, int]], recall: float) ->
     return apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))) - 1)]
 
 
+class _Window:
+    """The best that some queries have met in the blocks of one stretch of a curve."""
+
+    def __init__(self, own: np.ndarray, codes: np.ndarray, m: int):
+        self.own, self.codes, self.m = own, codes, m
+        self.near, self.rough = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.float32)
+
+    def meet(self, pids: np.ndarray, vectors: np.ndarray) -> None:
+        rough = np.where(self.own[:, None] == pids[None, :], np.float32(-9), self.codes @ vectors.T)
+        near = np.concatenate([self.near, np.broadcast_to(pids, rough.shape)], axis=1)
+        rough = np.concatenate([self.rough, rough], axis=1)
+        if rough.shape[1] > self.m:
+            at = np.argpartition(-rough, self.m - 1, axis=1)[:, : self.m]
+            near, rough = np.take_along_axis(near, at, axis=1), np.take_along_axis(rough, at, axis=1)
+        self.near, self.rough = near, rough
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, col = np.nonzero(self.rough > -8)
+        return self.own[row], self.near[row, col], self.rough[row, col].astype(np.float64)
+
+
 def _window_search(blocks: DataFrame, reach: int, m: int) -> DataFrame:
-    """(query, near, rough): the ``m`` best of each block that a query's windows meet."""
+    """(query, near, rough): the ``m`` best of each query's window on each curve.
+
+    Blocks and the queries that have to meet them are dealt by stretches of ZONE blocks, and a
+    stretch is walked in the curve's order; a window that lies in two stretches brings its best of each.
+    """
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,23 +272,43 @@ def _window_search(blocks: DataFrame, reach: int, m: int) -> DataFrame:
                 if len(own):
                     ids = np.frombuffer(pids, "<i8")[own].tobytes()
                     raw = np.frombuffer(codes, np.uint8).reshape(-1, dim + 4)[own].tobytes()
-                    out += [(curve, dim, p, ids, raw) for p in range(max(0, place - reach), place + reach + 1)]
+                    # Each stretch that the window touches is told once, at its first block there.
+                    first = max(0, place - reach)
+                    starts = [first, *range((first // ZONE + 1) * ZONE, place + reach + 1, ZONE)]
+                    out += [(curve, dim, p // ZONE, p, place, ids, raw) for p in starts]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["curve", "dim", "place", "own", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["curve", "dim", "zone", "place", "home", "pids", "codes"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for dim, pids, codes, own, asked in zip(*(_column(batch, c) for c in ("dim", "pids", "codes", "own", "asked"))):
-                own = np.frombuffer(own, "<i8")
-                row, near, rough = _top(decode(asked, dim) @ decode(codes, dim).T, np.frombuffer(pids, "<i8"), own, m)
-                found.append((own[row], near, rough))
+        group, open_ = None, {}
+
+        def close(until: int | None) -> Iterator[pa.RecordBatch]:
+            done = [h for h in open_ if until is None or h + reach < until]
+            found = [open_.pop(h).rows() for h in done]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query", "near", "rough"])
 
-    asked = blocks.mapInArrow(packets, "curve long, dim long, place long, own binary, asked binary")
-    met = blocks.select("curve", "dim", "place", "pids", "codes").join(asked, ["curve", "dim", "place"])
-    return met.select("dim", "pids", "codes", "own", "asked").mapInArrow(search, "query long, near long, rough double")
+        for batch in batches:
+            for curve, dim, zone, place, home, pids, codes in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != (curve, dim, zone):
+                    yield from close(None)
+                    group = (curve, dim, zone)
+                ids, vectors = np.frombuffer(pids, "<i8"), decode(codes, dim)
+                if home >= 0:
+                    open_[home] = _Window(ids, vectors, m)
+                    continue
+                yield from close(place)
+                for window in open_.values():
+                    window.meet(ids, vectors)
+        yield from close(None)
+
+    names = ["curve", "dim", "zone", "place", "home", "pids", "codes"]
+    asked = blocks.mapInArrow(packets, "curve long, dim long, zone long, place long, home long, pids binary, codes binary")
+    # A block comes after the queries that are told at its place.
+    bodies = blocks.select("curve", "dim", F.floor(F.col("place") / ZONE).alias("zone"), "place", F.lit(-1).cast("long").alias("home"), "pids", "codes")
+    met = bodies.union(asked).withColumn("last", F.col("home") < 0).repartition("curve", "dim", "zone")
+    met = met.sortWithinPartitions("curve", "dim", "zone", "place", "last", "home").select(*names)
+    return met.mapInArrow(search, "query long, near long, rough double")
 
 
 def nearest(
