@@ -28,8 +28,9 @@ END_ID = 1
 K1, B = 1.2, 0.75
 #: A shard ends at so many tokens too, so that long documents do not make it large.
 SHARD_TOKENS = 1 << 23
-#: Terms in at least so many documents of a shard are scored by matrix products, the others by postings.
-COMMON, COLUMNS = 32, 4096
+#: Terms in at least this part of a shard's documents are scored by matrix products (so many terms at
+#: a time), the others by their postings (so many pairs at a time).
+COMMON, COLUMNS, MEETINGS = 48, 4096, 1 << 20
 #: Rows of the sample that sets the bounds of the range partitions: for each partition, and at most.
 BOUND_ROWS, MOST_BOUND_ROWS = 100, 1_000_000
 PLACED = "doc_id long, ids binary, _id long, _h long, _key long, _part int"
@@ -50,37 +51,44 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    df = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for ids in batch.column(0).to_pylist():
-            terms = np.frombuffer(ids, "<u2")
-            at = np.arange(len(terms))
-            last[terms] = at
-            df[terms[last[terms] == at]] += 1  # one occurrence of each term
+            df[counts_of(np.frombuffer(ids, "<u2"))[0]] += 1
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["term", "df"])
 
 
+def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and how often each occurs (16-bit numbers sort by radix)."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
 class Bm25:
     """Weights of terms in documents, from statistics of the whole corpus."""
 
     def __init__(self, df: np.ndarray, n_docs: int, mean: float):
         self.idf, self.mean = np.log1p((n_docs - df + 0.5) / (df + 0.5)), mean
 
-    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct terms of a document and what each adds to the score of a query that has it."""
-        terms, count = np.unique(ids, return_counts=True)
-        return terms, (count / (count + K1 * (1 - B + B * len(ids) / self.mean)) * (K1 + 1) * self.idf[terms]).astype(np.float32)
+    def weights(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct terms of each document, one after the other, what each adds to the score of a
+        query that has it, and how many each document has."""
+        terms, counts = zip(*map(counts_of, docs))
+        n = np.array([len(t) for t in terms])
+        terms, count, length = np.concatenate(terms), np.concatenate(counts), np.repeat([len(d) for d in docs], n)
+        return terms, (count / (count + K1 * (1 - B + B * length / self.mean)) * (K1 + 1) * self.idf[terms]).astype(np.float32), n
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         """BM25 of each document (columns) for all distinct terms of each document (rows); a term that
         no other document has is left out, as it counts only on the diagonal."""
-        terms, weights = zip(*map(self.weights, docs))
-        owner = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-        terms, weights = np.concatenate(terms), np.concatenate(weights)
+        terms, weights, n = self.weights(docs)
+        owner = np.repeat(np.arange(len(docs)), n)
         df = np.bincount(terms, minlength=1 << 16)
         out = np.zeros((len(docs), len(docs)), np.float32)
-        common = np.flatnonzero(df >= COMMON)
+        common_from = max(2, len(docs) // COMMON)
+        common = np.flatnonzero(df >= common_from)
         for a in range(0, len(common), COLUMNS):
             column = np.full(1 << 16, -1)
             part = common[a : a + COLUMNS]
@@ -90,13 +98,19 @@ class Bm25:
             has, has_weight = np.zeros((2, len(docs), len(part)), np.float32)
             has[owner[hit], at[hit]], has_weight[owner[hit], at[hit]] = 1, weights[hit]
             out += has @ has_weight.T
-        rare = (df[terms] < COMMON) & (df[terms] > 1)
+        rare = (df[terms] < common_from) & (df[terms] > 1)
         order = np.argsort(terms[rare], kind="stable")
         t, d, w = terms[rare][order], owner[rare][order], weights[rare][order]
         first, n = np.searchsorted(t, t), df[t]
-        # Each posting meets all postings of its term.
-        other = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        np.add.at(out.reshape(-1), d[other] * len(docs) + np.repeat(d, n), np.repeat(w, n))
+        flat, ends = out.reshape(-1), np.cumsum(n)
+        at = 0
+        while at < len(t):
+            # Each posting meets all postings of its term; some at a time.
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + MEETINGS, side="right")))
+            k = n[at:to]
+            other = np.repeat(first[at:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            np.add.at(flat, d[other] * len(docs) + np.repeat(d[at:to], k), np.repeat(w[at:to], k))
+            at = to
         return out
 
 
@@ -112,12 +126,19 @@ class Pivots:
         for j, (t, w) in enumerate(pivots):
             self.matrix[self.row[t], j] = w
 
-    def key(self, ids: np.ndarray) -> int:
-        terms, weights = self.bm25.weights(ids)
-        pivot = int(self.matrix[self.row[terms]].sum(axis=0).argmax())
-        first = int(weights.argmax())
-        weights[first] = -1
-        return pivot << 32 | int(terms[first]) << 16 | int(terms[weights.argmax()])
+    def keys(self, docs: list[np.ndarray]) -> list[int]:
+        terms, weights, n = self.bm25.weights(docs)
+        first = np.cumsum(n) - n
+        has = np.zeros((len(docs), len(self.matrix)), np.float32)
+        has[np.repeat(np.arange(len(docs)), n), self.row[terms]] = 1
+        pivots = (has @ self.matrix).argmax(axis=1).tolist()
+        out = []
+        for a, m, pivot in zip(first.tolist(), n.tolist(), pivots):
+            own = weights[a : a + m]
+            heavy = int(own.argmax())
+            own[heavy] = -1
+            out.append(pivot << 32 | int(terms[a + heavy]) << 16 | int(terms[a + own.argmax()]))
+        return out
 
 
 class Windows:
@@ -192,7 +213,7 @@ def pack(
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bm25.weights(np.frombuffer(x, "<u2")) for x in batch.column(0).to_pylist()]
+            got = [bm25.weights([np.frombuffer(x, "<u2")]) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for x in got], pa.binary()) for i in (0, 1)], names=["terms", "weights"])
 
     sample = tokens.select("ids", F.xxhash64(F.lit(10), "ids").alias("_h"), "_id").orderBy("_h", "_id").limit(pivots).select("ids")
@@ -201,9 +222,9 @@ def pack(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                keys = [router.key(np.frombuffer(x, "<u2")) for x in part.column(1).to_pylist()]
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                keys = router.keys([np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()])
                 ranges = [bisect_right(bounds, k) for k in zip(keys, part.column(3).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], names=["doc_id", "ids", "_id", "_h", "_key", "_part"])
 
