@@ -4,7 +4,7 @@ Each document's id stream is cut where a rolling hash of the last ids says so, s
 passages become equal chunks wherever they stand.  A chunk is named by the hash of its bytes
 and stored once; a document is a recipe, the ordered list of its chunks, with the Merkle root
 over them; recipes are written in ascending doc_id order with each document's place in the
-whole stream, and a manifest holds the root over all recipes.
+whole stream, and a manifest holds the roots over the recipes with their ids and places.
 
 Format (Parquet): ``chunks`` digest, ids (little-endian unsigned 16-bit); ``recipes`` doc_id, start,
 n_tokens, digests, root; ``manifest`` documents, tokens, root of each range, and the root over all ranges.
@@ -133,15 +133,25 @@ def _ranges(spark: SparkSession, store: str) -> DataFrame:
 
     def range_root(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
-        return pd.DataFrame({"_range": [int(key[0])], "documents": [len(group)], "tokens": [int(group["n_tokens"].sum())], "root": [merkle_root(list(group["root"]))]})
+        rows = zip(group["start"].tolist(), group["doc"].tolist(), group["n_tokens"].tolist(), group["root"].tolist())
+        leaves = [digest(f"{start} {doc} {n} ".encode() + bytes(root)) for start, doc, n, root in rows]
+        return pd.DataFrame({"_range": [int(key[0])], "documents": [len(group)], "tokens": [int(group["n_tokens"].sum())], "root": [merkle_root(leaves)]})
 
-    return recipes.select("_range", "start", "n_tokens", "root").groupBy("_range").applyInPandas(range_root, "_range long, documents long, tokens long, root binary")
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc")
+    return recipes.select("_range", "start", doc, "n_tokens", "root").groupBy("_range").applyInPandas(range_root, "_range long, documents long, tokens long, root binary")
 
 
 def _top(ranges: DataFrame) -> bytes:
-    """Root over the range roots (one for each 5,000,000 tokens), with their numbers and counts."""
-    rows = sorted(tuple(r) for r in ranges.select("_range", "documents", "tokens", "root").collect())
-    return merkle_root([digest(repr((n, d, t, bytes(root))).encode()) for n, d, t, root in rows])
+    """Root over the ranges' roots (one for each 5,000,000 tokens), numbers and counts: over runs of
+    1,024 ranges first, so that the driver gets one row for each 5 billion tokens."""
+
+    def run_root(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("_range")[["_range", "documents", "tokens", "root"]].itertuples(index=False)
+        leaves = [digest(repr((int(n), int(d), int(t), bytes(root))).encode()) for n, d, t, root in rows]
+        return pd.DataFrame({"_run": [int(key[0])], "root": [merkle_root(leaves)]})
+
+    runs = ranges.select(F.floor(F.col("_range") / 1024).alias("_run"), "_range", "documents", "tokens", "root").groupBy("_run").applyInPandas(run_root, "_run long, root binary")
+    return merkle_root([digest(repr((r["_run"], bytes(r["root"]))).encode()) for r in sorted(runs.collect(), key=lambda r: r["_run"])])
 
 
 def verify_manifest(spark: SparkSession, store: str) -> None:
@@ -152,10 +162,11 @@ def verify_manifest(spark: SparkSession, store: str) -> None:
         raise ValueError(f"the recipes of {store} are not those of its manifest")
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
+def read_store(spark: SparkSession, store: str, strict: bool = True) -> DataFrame:
     """Read a store back and verify it: doc_id, start, n_tokens, ids_crc32, verified.
 
-    Recipes that do not agree with the manifest fail the reading.
+    Recipes that do not agree with the manifest fail the reading, and so does, if ``strict``, a document
+    whose chunks are gone or altered (else it is ``verified`` = false).
 
     Each chunk is read once: its name is checked against its ids, and the checksum of its ids (as
     little-endian unsigned 32-bit integers) is taken; a document's checksum is combined from its
@@ -190,6 +201,8 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
                 names = parts.field("digest").to_pylist()
                 good &= [merkle_root(names[e - c : e]) == root for e, c, root in zip(ends.tolist(), counts.tolist(), roots)]
             good &= sizes == wanted
+            if strict and not good.all():
+                raise ValueError(f"{(~good).sum()} documents of {store} do not have the chunks of their recipes")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     rows = recipes.select("doc_id", "start", "root", "n_tokens").join(whole, "start", "left").select("doc_id", "start", "parts", "root", "n_tokens")
