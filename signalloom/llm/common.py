@@ -17,9 +17,13 @@ BOUND_ROWS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only in a local session that sets none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or os.path.join(tempfile.gettempdir(), "signalloom-shared")).rstrip("/")
+    if base is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "signalloom-shared")
+    return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

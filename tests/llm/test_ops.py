@@ -258,6 +258,37 @@ def test_repeated_and_incomplete_notices_are_found():
         assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
+def test_licences_are_found_with_their_spans(docs):
+    """Texts with 0 to 3 planted licences, some with changed words, among words that licences use."""
+    rng = random.Random(12)
+    scanner, filler = licenses.Scanner(licenses.TEMPLATES, 0.8), "the of and software under any use copy this a to license terms public river stone".split()
+    names = [n for n in licenses.TEMPLATES if n not in ("BSD", "MIT-text", "Apache-2.0", "BSD-2-Clause/full", "GPL-2.0/header", "GPL-3.0/header", "LGPL-3.0/header", "AGPL-3.0/header")]
+    for _ in range(60):
+        text, planted = " ".join(rng.choices(filler, k=rng.randint(0, 60))), []
+        for _ in range(rng.randint(0, 3)):
+            name = rng.choice(names)
+            words = licenses.TEMPLATES[name].split()
+            if len(words) > 20:
+                for _ in range(rng.randint(0, len(words) // 12)):
+                    words[rng.randrange(len(words))] = "qqq"
+            text += " qqq. "
+            planted.append((name, len(text), len(text) + len(" ".join(words))))
+            text += " ".join(words) + " qqq " + " ".join(rng.choices(filler, k=rng.randint(0, 60)))
+        got = scanner.scan_all(text)[1]
+        assert [f.name for f in got] == [n for n, _, _ in planted], (text, got)
+        for f, (_, a, b) in zip(got, planted):
+            # At most some words of the ends are cut off or added.
+            assert min(f.end, b) - max(f.start, a) >= 0.7 * (b - a) and f.end - f.start <= 1.3 * (b - a) + 20
+    # Gaps count: scattered words are no notice, one word more is.
+    assert scanner.scan("the license was released under pressure; MIT under license")[0] is None
+    assert scanner.scan("Released under the permissive MIT License")[:2] == ("MIT", 5 / 6)
+    text = "İ x. Released under the MIT License y"
+    (found,) = scanner.scan_all(text)[1]
+    assert text[found.start : found.end] == "Released under the MIT License"
+    row = {x["doc_id"]: x for x in licenses.license_scan(docs).collect()}[15]
+    assert [TEXTS[15][f["start"] : f["end"]] for f in row["found"]] == ["Released under the MIT License"]
+
+
 def test_mixing_keeps_budgets(docs, empty, spark):
     many = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text", "array('en','de','fr')[id % 3] as lang", "concat('src', if(id % 3 = 0, 0, id % 7)) as source")
     out = mixing.mix(many, source_domain(many.source), MIX_WEIGHTS, max_epochs=2)
@@ -309,6 +340,48 @@ def test_store_with_a_lost_recipe_is_refused(spark, docs, tmp_path):
         store.read_store(spark, at)
 
 
+def test_altered_stores_are_refused(spark, docs, tmp_path):
+    """A recipe repeated, exchanged or altered, a chunk lost or altered."""
+    whole = str(tmp_path / "whole")
+    store.write_store(docs, tokenizer("word_bpe_49k.json"), whole)
+    parts = {p: spark.read.parquet(f"{whole}/{p}").toPandas() for p in ("chunks", "recipes", "manifest")}
+    schemas = {p: spark.read.parquet(f"{whole}/{p}").schema for p in parts}
+
+    def altered(name, part, change):
+        at = str(tmp_path / name)
+        for p, rows in parts.items():
+            rows = rows.sort_values("start").reset_index(drop=True) if p == "recipes" else rows.reset_index(drop=True)
+            rows = change(rows.copy()) if p == part else rows
+            rows = [tuple(None if v != v else int(v) if f.dataType.typeName() == "long" else v if not hasattr(v, "tolist") else v.tolist() for v, f in zip(r, schemas[p])) if p != "recipes"
+                    else (None if r[0] != r[0] else int(r[0]), int(r[1]), int(r[2]), list(r[3]), r[4]) for r in rows.itertuples(index=False)]
+            spark.createDataFrame(rows, schemas[p]).write.parquet(f"{at}/{p}")
+        return at
+
+    def exchanged(rows):
+        rows.loc[[2, 3], "doc_id"] = rows.loc[[3, 2], "doc_id"].to_numpy()
+        return rows
+
+    def fewer(rows):
+        rows.loc[4, "n_tokens"] += 1
+        return rows
+
+    def other(rows):
+        rows.at[0, "ids"] = rows.at[0, "ids"][:-2] + b"\x07\x00"
+        return rows
+
+    assert store.read_store(spark, altered("same", "recipes", lambda r: r)).count() == len(TEXTS) + 1
+    import pandas as pd
+
+    for name, part, change in [("twice", "recipes", lambda r: pd.concat([r, r.iloc[:1]])), ("exchanged", "recipes", exchanged), ("fewer", "recipes", fewer), ("manifest", "manifest", lambda r: r.assign(tokens=r.tokens + 1))]:
+        with pytest.raises(ValueError, match="manifest"):
+            store.read_store(spark, altered(name, part, change))
+    for name, change in [("lost", lambda r: r.iloc[1:]), ("other", other)]:
+        at = altered(name, "chunks", change)
+        assert store.read_store(spark, at, strict=False).where("not verified").count() >= 1
+        with pytest.raises(Exception, match="chunks of their recipes"):
+            store.read_store(spark, at).collect()
+
+
 def test_chunks_survive_an_insertion():
     a = np.random.default_rng(0).integers(0, 49_000, 20_000).astype("<u2")
     b = np.insert(a, 5, [1, 2, 3])
@@ -412,9 +485,9 @@ def test_packing_shards_hold_neighbours(spark):
     arrays = [np.array([vocabulary[w] for w in d], "<u2") for d in docs]
     df = np.bincount(np.concatenate([np.unique(a) for a in arrays]), minlength=1 << 16)
     bm25 = packing.Bm25(df, len(docs), 60.0)
-    router = packing.Pivots(bm25, [bm25.weights(arrays[i]) for i in rng.sample(range(900), 64)])
+    router = packing.Pivots(bm25, [bm25.weights([arrays[i]])[:2] for i in rng.sample(range(900), 64)])
     shard = np.empty(900, int)
-    shard[np.argsort([router.key(a) for a in arrays], kind="stable")] = np.arange(900) // 90
+    shard[np.argsort(router.keys(arrays), kind="stable")] = np.arange(900) // 90
     scores = bm25.scores(arrays)
     np.fill_diagonal(scores, -1)
     top = np.argsort(-scores, axis=1)[:, :3]
