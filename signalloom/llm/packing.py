@@ -38,23 +38,29 @@ PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (with the end id), ids (little-endian unsigned 16-bit) of every whole text."""
+    """doc_id, n (with the end id), ids (little-endian unsigned 16-bit) of every whole text; and a row
+    with n = -1 for each task, whose ids are the document frequencies of its rows (64-bit, by term)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, end_id.to_bytes(2, "little")
+        encode, end, df = encoder(path).encode, end_id.to_bytes(2, "little"), np.zeros(1 << 16, "<i8")
+        names, none = ["doc_id", "n", "ids"], True
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                ids = [encode(t) + end for t in batch.column(1).slice(a, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+                ids, none = [encode(t) + end for t in batch.column(1).slice(a, 256).to_pylist()], False
+                for x in ids:
+                    df[counts_of(np.frombuffer(x, "<u2"))[0]] += 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
+        if not none:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([df.tobytes()])], names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            df[counts_of(np.frombuffer(ids, "<u2"))[0]] += 1
+        for own in batch.column(0).to_pylist():
+            df += np.frombuffer(own, "<i8")
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["term", "df"])
 
@@ -200,12 +206,14 @@ def pack(
     that the index is routed by; it bounds what the driver holds, every document is indexed.
     """
     tokens = materialize(tokenize(docs, tokenizer_path, end_id, id_col, text_col).withColumn("_id", F.monotonically_increasing_id()), "pack-tokens")
+    counted = tokens.where("n < 0").select("ids")
+    tokens = tokens.where("n >= 0")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     stats = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
     if not stats["docs"]:
         return tokens.select(*(F.col("n" if c != "doc_id" else c).alias(c) for c in PIECES))
     # At most 2**16 rows, one for each token id.
-    counts = tokens.select("ids").mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    counts = counted.mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(1 << 16, np.int64)
     for r in counts:
         df[r["term"]] = r["df"]
