@@ -2,9 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Persons of a ballot that meet in one task.
+BALLOT_BLOCK = 1_000
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write to the folder all executors share, so that iterations keep a short lineage.  Only a local
+    session may leave the folder unset."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "signalloom-shared")
+    path = f"{base.rstrip('/')}/signalloom/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` (rows of a few values) with a broadcast hint if it has at most ``most_rows`` rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0.. in the given order.  Rows are range-partitioned and numbered inside each
+    partition; only the partitions' counts meet in one task."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpoint(placed.withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33)))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", before.alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(small(parts), "_part").withColumn(name, F.col("_before") + inside).select(*df.columns, name)
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Order endpoints, sum parallel edges, drop self loops and zero weights."""
@@ -42,8 +80,18 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def dense_ids(edges: DataFrame) -> DataFrame:
     """(node, vid) with vid 0.. in node order."""
-    ids = vertices(edges).withColumnRenamed("v", "node")
-    return ids.withColumn("vid", F.row_number().over(Window.orderBy("node")) - 1)
+    return numbered(vertices(edges).withColumnRenamed("v", "node"), ["node"], "vid")
+
+
+def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends replaced by their ids (node, vid)."""
+    one, two = ids.select(F.col("node").alias("source"), F.col("vid").alias("_a")), ids.select(F.col("node").alias("target"), F.col("vid").alias("_b"))
+    return edges.join(one, "source").join(two, "target").select(F.col("_a").alias("source"), F.col("_b").alias("target"), "weight")
+
+
+def restore(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Labels (v, label) of ids as labels of the nodes that they stand for."""
+    return labels.join(ids.withColumnRenamed("vid", "v"), "v").select(F.col("node").alias("v"), "label")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -72,8 +120,14 @@ def covote_edges(votes: DataFrame, threshold: float = 0.75, min_support: int = 3
     above the threshold or below its complement.  Several votes on a ballot are averaged; an
     average of 0 is absence."""
     x = votes.groupBy("person", "ballot").agg(F.avg("x").alias("x")).where("x <> 0")
-    a, b = x.select("ballot", F.col("person").alias("source"), F.col("x").alias("xa")), x.select("ballot", F.col("person").alias("target"), F.col("x").alias("xb"))
-    pairs = a.join(b, "ballot").where("source < target").groupBy("source", "target")
+    # Persons of a large ballot are dealt into blocks, and every two blocks meet in a group of their own.
+    large = x.groupBy("ballot").count().where(F.col("count") > BALLOT_BLOCK).select("ballot", F.ceil(F.col("count") / BALLOT_BLOCK).cast("int").alias("blocks"))
+    x = x.join(small(large), "ballot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = x.withColumn("own", F.pmod(F.xxhash64("person"), F.col("blocks")).cast("int"))
+    a = x.select("ballot", F.col("own").alias("one"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("two"), F.col("person").alias("pa"), F.col("x").alias("xa"))
+    b = x.select("ballot", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("one"), F.col("own").alias("two"), F.col("person").alias("pb"), F.col("x").alias("xb"))
+    met = a.join(b, ["ballot", "one", "two"]).where("pa < pb or one < two")
+    pairs = met.groupBy(F.least("pa", "pb").alias("source"), F.greatest("pa", "pb").alias("target"))
     pairs = pairs.agg(F.count("*").alias("support"), F.avg(F.when(F.col("xa") == F.col("xb"), F.lit(1.0)).otherwise(F.lit(0.0))).alias("ratio"))
     sign = F.when(F.col("ratio") > threshold, F.lit(1.0)).when(F.col("ratio") < 1 - threshold, F.lit(-1.0))
     return pairs.where(F.col("support") >= min_support).withColumn("weight", sign).where("weight is not null")
@@ -83,3 +137,42 @@ def event_votes(events: DataFrame, ballot: str = "hour") -> DataFrame:
     """Votes from events: a person's vote on an hour, or on a day and event type."""
     what = F.date_trunc("hour", "ts") if ballot == "hour" else F.concat_ws(":", F.date_format("ts", "yyyy-MM-dd"), "event_type")
     return events.select(F.col("user_id").alias("person"), what.alias("ballot"), F.when(F.col("value") > 50, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("x"))
+
+
+#: Legislative periods with their first and last days.
+PERIODS = {
+    17: ("2009-10-27", "2013-10-21"), 18: ("2013-10-22", "2017-10-22"), 19: ("2017-10-23", "2021-10-25"), 20: ("2021-10-26", "2025-03-24"), 21: ("2025-03-25", "2100-01-01"),
+}
+
+
+def in_periods(votes: DataFrame, selected: list[int], periods: dict[int, tuple[str, str]] = PERIODS, filename: str = "filename") -> DataFrame:
+    """Votes whose file's date lies in one of the selected periods (none selected: all votes).
+
+    ValueError for a period that is not known; a file name without a date lies in none.
+    """
+    unknown = [p for p in selected if p not in periods]
+    if unknown:
+        raise ValueError(f"periods {unknown} are not among {sorted(periods)}")
+    if not selected:
+        return votes
+    day = F.try_to_date(F.regexp_extract(filename, r"^(\d{8})", 1), "yyyyMMdd")
+    hit = F.lit(False)
+    for p in selected:
+        hit = hit | day.between(F.to_date(F.lit(periods[p][0])), F.to_date(F.lit(periods[p][1])))
+    return votes.where(F.coalesce(hit, F.lit(False)))
+
+
+def anonymise(votes: DataFrame, name: str = "person", drop: tuple[str, ...] = ("Name", "Vorname", "Bezeichnung")) -> DataFrame:
+    """Replace the name by an id, 0.. in name order, and drop other naming columns."""
+    ids = numbered(votes.select(name).distinct(), [name], "person_id")
+    return votes.join(ids, name).drop(name, *drop)
+
+
+def votes_to_graph(votes: DataFrame, selected: list[int], threshold: float = 0.75, periods: dict[int, tuple[str, str]] = PERIODS) -> tuple[DataFrame, DataFrame]:
+    """Anonymised votes of the selected periods, and the signed edges between their persons.
+
+    ``votes``: filename, Bezeichnung (the person's name), janein (ja or nein), further columns.
+    """
+    anonymous = checkpoint(anonymise(in_periods(votes, selected, periods), "Bezeichnung"))
+    x = F.when(F.col("janein") == "ja", F.lit(1.0)).otherwise(F.lit(-1.0))
+    return anonymous, covote_edges(anonymous.select(F.col("person_id").alias("person"), F.col("filename").alias("ballot"), x.alias("x")), threshold)

@@ -8,22 +8,21 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashrand import uniform
-from .graph import directed, vertices
+from .graph import checkpoint, directed, numbered, vertices
 from .labels import affinity, agreement, gumbel_label
-from .reduce import checkpoint
 
 TRACE_SCHEMA = "run_id string, epoch int, edge_weight double, current double, best_batch double, best double, current_plus_neg double, epochs_since_restart int, temperature double, runtime_ms long"
 
 
 def chunks(nodes: DataFrame, n_chunks: int, seed: int, epoch: int) -> DataFrame:
     """(v, chunk): a seeded permutation cut into at most n_chunks chunks of ceil(n / n_chunks)."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.orderBy(uniform(seed, epoch, F.col("v")), "v")) - 1
-    return nodes.select("v", F.floor(place / F.ceil(n / n_chunks)).cast("int").alias("chunk"))
+    ordered = numbered(nodes.select("v", uniform(seed, epoch, F.col("v")).alias("_u")), ["_u", "v"], "_at")
+    size = -(-ordered.count() // n_chunks)
+    return ordered.select("v", F.floor(F.col("_at") / max(1, size)).cast("int").alias("chunk"))
 
 
 def sweep_round(edges: DataFrame, labels: DataFrame, matrix: DataFrame, seed: int, epoch: int, temperature: float = 0.0, damping: float = 0.5) -> DataFrame:
@@ -175,55 +174,124 @@ def gaic_run(edges: np.ndarray, weights: np.ndarray, n: int, overlap: np.ndarray
                 heapq.heappush(heap, key(u))
         return won
 
-    total, negative, t = float(np.abs(weights).sum()), float(-weights[weights < 0].sum()), config["initial_temperature"]
-    now = assign(np.arange(n), t)
-    best, best_labels, batch_best, stale = now, labels.copy(), 0.0, 0
-    row = lambda e, cur, bat, bst, s: (e, total, total - cur, total - bat, total - bst, total - negative - cur, s, t, int((time.time() - began) * 1000))
-    trace = [row(0, now, now, now, 0)]
-    for epoch in range(1, config["num_epochs"]):
-        if time.time() - began > config["timeout_s"] or stale > config["early_stopping_epochs"]:
-            break
-        idx = np.arange(n) if epoch == 1 else rng.permutation(n)
-        size = -(-n // config["num_reassignment_chunks"])
-        for a in range(0, n, size):
-            chunk, lost = idx[a : a + size], 0.0
-            rank[chunk] = rng.permutation(len(chunk))
-            for v in chunk:
-                lost += aff[v, labels[v]]
-                ties[v] = rng.random(k)
-                push(v, -1.0)
-                labels[v] = -1
-            now += assign(chunk, t) - lost
-            if now > best:
-                best, best_labels = now, labels.copy()
-            if now > batch_best:
-                batch_best, stale = now, 0
-        trace.append(row(epoch, now, batch_best, best, stale))
-        stale += 1
-        if epoch % max(1, config["temperature_decay_epochs"]) == 0:
-            t *= config["temperature_decay_factor"]
-    return best_labels, trace
+    def reassign(chunk: np.ndarray, t: float) -> float:
+        """Take the chunk's labels away and give them anew; what that gains."""
+        lost = 0.0
+        rank[chunk] = rng.permutation(len(chunk))
+        for v in chunk:
+            lost += aff[v, labels[v]]
+            ties[v] = rng.random(k)
+            push(v, -1.0)
+            labels[v] = -1
+        return assign(chunk, t) - lost
+
+    progress = _Progress(config, float(np.abs(weights).sum()), float(-weights[weights < 0].sum()))
+    progress.start(assign(np.arange(n), progress.temperature(0)), labels)
+    parts = -(-n // -(-n // config["num_reassignment_chunks"]))
+    while progress.goes_on():
+        order = rng.permutation(n) if progress.epoch else np.arange(n)
+        t = progress.temperature(progress.epoch)
+        for part in range(parts):
+            size = -(-n // config["num_reassignment_chunks"])
+            progress.gain(reassign(order[part * size : (part + 1) * size], t), labels)
+        progress.end_epoch(t)
+    return progress.best_labels, progress.trace
+
+
+class _Progress:
+    """What a run has reached: the objective now, the best one, and how long ago the batch's best was."""
+
+    def __init__(self, config: dict, total: float, negative: float):
+        self.config, self.total, self.negative, self.began = config, total, negative, time.time()
+        self.trace: list[tuple] = []
+        self.epoch = self.idle = 0
+
+    def temperature(self, epochs_done: int) -> float:
+        """It falls after every ``temperature_decay_epochs`` epochs."""
+        return self.config["initial_temperature"] * self.config["temperature_decay_factor"] ** (epochs_done // max(1, self.config["temperature_decay_epochs"]))
+
+    def start(self, agreement: float, labels: np.ndarray) -> None:
+        self.now = self.best = agreement
+        self.best_labels, self.batch_best = labels.copy(), 0.0
+        self._log(0, agreement, self.temperature(0))
+
+    def goes_on(self) -> bool:
+        """Epochs are left, time is left, and the last improvement is not too long ago."""
+        enough = self.epoch + 1 < self.config["num_epochs"] and self.idle <= self.config["early_stopping_epochs"]
+        return enough and time.time() - self.began <= self.config["timeout_s"]
+
+    def gain(self, gained: float, labels: np.ndarray) -> None:
+        self.now += gained
+        if self.now > self.batch_best:
+            self.batch_best, self.idle = self.now, 0
+        if self.now > self.best:
+            self.best, self.best_labels = self.now, labels.copy()
+
+    def end_epoch(self, t: float) -> None:
+        self.epoch += 1
+        self._log(self.epoch, self.batch_best, t)
+        self.idle += 1
+
+    def _log(self, epoch: int, batch_best: float, t: float) -> None:
+        passed = int((time.time() - self.began) * 1000)
+        missing = [self.total - x for x in (self.now, batch_best, self.best)]
+        self.trace.append((epoch, self.total, *missing, self.total - self.negative - self.now, self.idle, t, passed))
+
+
+#: Edges of a graph that is sent to every run; the benchmark's largest has 2,014,053.
+MOST_EDGES = 10_000_000
 
 
 def gaic_grid(edges: DataFrame, runs: list[dict]) -> DataFrame:
     """Sequential runs of a grid, one task each: the trace of every run.  ``runs`` hold run_id, seed,
-    intervals and the solver's parameters.  The graph goes to each run whole, so it has to fit
-    into one task; larger graphs are for ``bulk_sweep``."""
+    intervals and the solver's parameters.  Each run works on the whole graph, which is broadcast
+    once; ValueError above MOST_EDGES edges (``bulk_sweep`` is for larger graphs)."""
     spark = edges.sparkSession
-    by_id = {r["run_id"]: r for r in runs}
-    ids = spark.createDataFrame([(r["run_id"],) for r in runs], "run_id string")
-    rows = edges.select("source", "target", "weight").join(F.broadcast(ids))
+    edges = checkpoint(edges.select("source", "target", "weight"))
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"the graph has more than {MOST_EDGES} edges")
+    table = edges.orderBy("source", "target").toPandas()
+    nodes, dense = np.unique(np.concatenate([table["source"], table["target"]]), return_inverse=True)
+    sent = spark.sparkContext.broadcast((dense.reshape(2, -1).T, table["weight"].to_numpy(float), len(nodes), runs))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        r = by_id[group["run_id"].iloc[0]]
-        nodes, dense = np.unique(np.concatenate([group["source"], group["target"]]), return_inverse=True)
-        pairs = dense.reshape(2, -1).T
-        s, e = (np.array(x, np.float32) for x in zip(*r["intervals"]))
-        overlap = (s[None, :] <= e[:, None]) & (s[:, None] <= e[None, :])
-        _, trace = gaic_run(pairs, group["weight"].to_numpy(float), len(nodes), overlap, r, r["seed"])
-        return pd.DataFrame([(r["run_id"], *t) for t in trace], columns=[c.split()[0] for c in TRACE_SCHEMA.split(", ")])
+    def run(batches):
+        pairs, weights, n, all_runs = sent.value
+        for batch in batches:
+            for i in batch["id"]:
+                r = all_runs[i]
+                s, e = (np.array(x, np.float32) for x in zip(*r["intervals"]))
+                overlap = (s[None, :] <= e[:, None]) & (s[:, None] <= e[None, :])
+                _, trace = gaic_run(pairs, weights, n, overlap, r, r["seed"])
+                yield pd.DataFrame([(r["run_id"], *t) for t in trace], columns=[c.split()[0] for c in TRACE_SCHEMA.split(", ")])
+
+    return spark.range(0, len(runs), 1, max(1, len(runs))).mapInPandas(run, TRACE_SCHEMA)
+
+
+#: Sizes of the shipped structures, and the configurations with their first temperature and chunks.
+CHAINS, CLUSTERS = (4, 6, 8, 10, 12, 14, 16), (2, 4, 6, 8, 10, 12, 14, 16)
+CONFIGS = {"gaia_chunks_10": (0.0, 10), "gaia_chunks_100": (0.0, 100), "venus_chunks_10": (100.0, 10), "venus_chunks_100": (100.0, 100)}
+LIMITS = {"num_epochs": 10_000, "timeout_s": 180, "early_stopping_epochs": 50, "temperature_decay_factor": 0.6666, "temperature_decay_epochs": 5}
+
+
+def run_grid(spark: SparkSession, instances: list[str], seeds: int = 50) -> DataFrame:
+    """Every run of the benchmark: instance, structure, intervals, configuration, its parameters, seed."""
+    structs = spark.createDataFrame([("intervals", k) for k in CHAINS] + [("clusters", k) for k in CLUSTERS], "struct string, k int")
+    configs = spark.createDataFrame([(c, t, n) for c, (t, n) in CONFIGS.items()], "config string, initial_temperature double, chunks int")
+    names = spark.createDataFrame([(x,) for x in instances], "instance string")
+    return names.crossJoin(structs).crossJoin(configs).crossJoin(spark.range(1, seeds + 1).select(F.col("id").cast("int").alias("seed")))
+
+
+def grid_runs(grid: DataFrame) -> list[dict]:
+    """The rows of a grid (thousands) as runs for ``gaic_grid``."""
+    from .labels import chain, clusters
 
-    return rows.groupBy("run_id").applyInPandas(run, TRACE_SCHEMA)
+    return [
+        LIMITS | {
+            "run_id": f"{r['instance']}-{r['struct']}{r['k']}-{r['config']}-{r['seed']}", "seed": r["seed"], "initial_temperature": r["initial_temperature"],
+            "num_reassignment_chunks": r["chunks"], "intervals": (chain if r["struct"] == "intervals" else clusters)(r["k"]),
+        }
+        for r in grid.collect()
+    ]
 
 
 def map_clusters(edges: DataFrame, labels: DataFrame, intervals: list[tuple[float, float]]) -> tuple[dict[int, int], float]:
@@ -256,12 +324,19 @@ def map_clusters(edges: DataFrame, labels: DataFrame, intervals: list[tuple[floa
 def embed_exact(edges: list[tuple[int, int, int]]) -> tuple[int, dict[int, tuple[int, int]]]:
     """Fewest edges that free intervals (pairwise distinct starts) must violate, and intervals that
     reach it: over all start orders each vertex picks its end on its own.  Up to 8 vertices."""
+    return embed_within(edges, float("inf"))[:2]
+
+
+def embed_within(edges: list[tuple[int, int, int]], limit_s: float) -> tuple[int, dict[int, tuple[int, int]], bool]:
+    """The best embedding found in ``limit_s`` seconds, and whether it is known to be the best of all."""
     nodes = sorted({v for a, b, _ in edges for v in (a, b)})
     if len(nodes) > 8:
         raise ValueError("all start orders are tried for up to 8 vertices")
     sign = {frozenset((a, b)): s for a, b, s in edges}
-    best, found = len(edges) + 1, {}
+    best, found, end = len(edges) + 1, {}, time.time() + limit_s
     for order in permutations(nodes):
+        if found and time.time() > end:
+            return best, found, False
         cost, ends = 0, {}
         for i, v in enumerate(order):
             run, top, reach, plus = 0, 0, i, 0
@@ -274,18 +349,46 @@ def embed_exact(edges: list[tuple[int, int, int]]) -> tuple[int, dict[int, tuple
             ends[v] = (2 * i, 2 * reach + 1)
         if cost < best:
             best, found = cost, ends
-    return best, found
+    return best, found, True
 
 
 def synthetic_graph(spark: SparkSession, intervals: list[tuple[float, float]], n_per_interval: int, m_frac: float, p: float, seed: int) -> DataFrame:
     """Planted signed graph: pairs kept with probability m_frac, signed by their intervals' strict
     overlap with probability p and against it otherwise.  A vertex's block is v // n_per_interval."""
+    pairs = planted_pairs(spark, intervals, n_per_interval, seed).where(F.col("keep") < m_frac)
+    return pairs.select("source", "target", F.when(F.col("meets") == (F.col("right") < p), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("weight"))
+
+
+def planted_pairs(spark: SparkSession, intervals: list[tuple[float, float]], n_per_interval: int, seed: int) -> DataFrame:
+    """All pairs with the two uniform numbers (``keep``, ``right``) that a planted graph is drawn by, and
+    whether their blocks' intervals overlap."""
     n = len(intervals) * n_per_interval
     s, e = zip(*intervals)
     arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     pairs = spark.range(n).select(F.col("id").alias("source")).select("source", F.explode(F.sequence(F.col("source") + 1, F.lit(n))).alias("target")).where(F.col("target") < n)
-    pairs = pairs.where(uniform(seed, F.lit("keep"), F.col("source"), F.col("target")) < m_frac)
     block = lambda c: F.floor(F.col(c) / n_per_interval).cast("int")
     meets = (F.get(arr(s), block("source")) < F.get(arr(e), block("target"))) & (F.get(arr(s), block("target")) < F.get(arr(e), block("source")))
-    right = uniform(seed, F.lit("sign"), F.col("source"), F.col("target")) < p
-    return pairs.select("source", "target", F.when(meets == right, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("weight"))
+    draw = lambda name: uniform(seed, F.lit(name), F.col("source"), F.col("target"))
+    return pairs.select("source", "target", meets.alias("meets"), draw("keep").alias("keep"), draw("sign").alias("right"))
+
+
+#: The generator's sweep.
+SWEEP_P, SWEEP_M, SWEEP_N = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), (0.2, 0.4, 0.6, 0.8, 1.0), 100
+
+
+def synthetic_sweep(spark: SparkSession, intervals: list[tuple[float, float]], n_per_interval: int = SWEEP_N, seed: int = 5) -> DataFrame:
+    """Planted graphs of every p and m_frac: n_per_interval, m_frac, p, source, target, weight, and
+    ``planted`` (whether the planted labelling agrees).  The grid has 30 rows."""
+    pairs = planted_pairs(spark, intervals, n_per_interval, seed)
+    grid = spark.createDataFrame([(n_per_interval, m, p) for m in SWEEP_M for p in SWEEP_P], "n_per_interval int, m_frac double, p double")
+    drawn = pairs.join(F.broadcast(grid), F.col("keep") < F.col("m_frac")).withColumn("planted", F.col("right") < F.col("p"))
+    return drawn.select("n_per_interval", "m_frac", "p", "source", "target", F.when(F.col("meets") == F.col("planted"), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("weight"), "planted")
+
+
+def leaf_order(distances: dict[tuple[str, str], float]) -> list[str]:
+    """Order of up to 8 columns with the shortest path through them; of orders that tie the first by name."""
+    names = sorted({x for pair in distances for x in pair})
+    if len(names) > 8:
+        raise ValueError("all orders are tried for up to 8 columns")
+    apart = {**distances, **{(b, a): d for (a, b), d in distances.items()}}
+    return list(min(permutations(names), key=lambda order: (round(sum(apart[p] for p in zip(order, order[1:])), 9), order)))

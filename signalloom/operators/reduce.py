@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import degrees, directed, induced, vertices, without_vertices
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write to the folder all executors share, so that iterations keep a short lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "signalloom-shared")
-    path = f"{base.rstrip('/')}/signalloom/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .graph import checkpoint, degrees, directed, induced, numbered, vertices, without_vertices
 
 
 def plus_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(v, comp): smallest vertex reached over positive edges; min-label with pointer jumping."""
+    edges = checkpoint(edges.select("source", "target", "weight"))
     nodes = vertices(edges) if nodes is None else nodes.select("v")
     plus = checkpoint(directed(edges.where("weight > 0")).select("v", "u"))
     labels = checkpoint(nodes.withColumn("comp", F.col("v")))
@@ -49,9 +37,10 @@ def drop_two_mix(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def kernelize(edges: DataFrame, unsafe: bool = False) -> DataFrame:
     """(v, kernel) of the exact kernels: drop vertices without negative edges, split by positive
     components, drop negative edges between components, until nothing changes.  ``unsafe`` also
-    drops vertices with one edge of each sign, and splits at bridges, in the first round."""
-    nodes, first = checkpoint(vertices(edges)), unsafe
-    edges = checkpoint(edges.select("source", "target", "weight"))
+    drops vertices with one edge of each sign, and splits at bridges, in the first round; if that
+    leaves fewer than two parts, they are the result as they are."""
+    edges, first = checkpoint(edges.select("source", "target", "weight")), unsafe
+    nodes = checkpoint(vertices(edges))
     while True:
         kept = drop_positive(edges, nodes)
         if first:
@@ -62,6 +51,8 @@ def kernelize(edges: DataFrame, unsafe: bool = False) -> DataFrame:
         if first:
             comps = checkpoint(two_edge_components(inner, comps))
             kept = comps.select("v")
+            if comps.select("comp").distinct().limit(2).count() < 2:
+                return comps.withColumnRenamed("comp", "kernel")
         a, b = comps.select(F.col("v").alias("source"), F.col("comp").alias("ca")), comps.select(F.col("v").alias("target"), F.col("comp").alias("cb"))
         smaller = checkpoint(inner.join(a, "source").join(b, "target").where("ca = cb").select("source", "target", "weight"))
         if not first and kept.count() == nodes.count() and smaller.count() == edges.count():
@@ -71,7 +62,8 @@ def kernelize(edges: DataFrame, unsafe: bool = False) -> DataFrame:
 
 def leaf_peel(edges: DataFrame) -> DataFrame:
     """Vertices left after repeatedly dropping all with one positive and no negative edge."""
-    nodes, edges = checkpoint(vertices(edges)), checkpoint(edges.select("source", "target", "weight"))
+    edges = checkpoint(edges.select("source", "target", "weight"))
+    nodes = checkpoint(vertices(edges))
     while True:
         gone = checkpoint(degrees(edges, nodes).where("dp = 1 and dm = 0").select("v"))
         if gone.isEmpty():
@@ -145,6 +137,28 @@ def cut_vertices(edges: DataFrame) -> DataFrame:
     return _by_component(edges, comps).groupBy("comp").applyInPandas(run, "v long")
 
 
+def cut_vertex_split(edges: DataFrame) -> DataFrame:
+    """(v, part): the parts that isolating one vertex leaves, that vertex alone being one; the part is
+    named by its smallest vertex.
+
+    The vertex is the smallest whose isolation leaves at least three components of the unsigned
+    graph; on a graph of several components that is the smallest of all.  None such: the whole
+    graph is one part.
+    """
+    edges = checkpoint(edges.select("source", "target", F.abs("weight").alias("weight")))
+    nodes = vertices(edges)
+    comps = checkpoint(plus_components(edges))
+    if comps.select("comp").distinct().limit(2).count() > 1:
+        chosen = nodes.agg(F.min("v").alias("v"))
+    else:
+        chosen = cut_vertices(edges).agg(F.min("v").alias("v"))
+    chosen = chosen.where("v is not null")
+    if chosen.isEmpty():
+        return comps.withColumnRenamed("comp", "part")
+    alone = int(chosen.first()["v"])
+    return plus_components(edges.where((F.col("source") != alone) & (F.col("target") != alone)), nodes).withColumnRenamed("comp", "part")
+
+
 def two_edge_components(edges: DataFrame, comps: DataFrame | None = None) -> DataFrame:
     """(v, comp): 2-edge-connected components inside given components (default: the unsigned
     graph's); one vertex alone is a component."""
@@ -235,4 +249,4 @@ def largest_kernel(kernels: DataFrame) -> DataFrame:
 
 
 def relabel(nodes: DataFrame) -> DataFrame:
-    return nodes.select("v", F.row_number().over(Window.orderBy("v")).alias("new_id"))
+    return numbered(nodes.select("v"), ["v"], "new_id").select("v", (F.col("new_id") + 1).alias("new_id"))

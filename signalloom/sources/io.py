@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import canonical, negative_wins
+from ..operators.graph import anonymise, canonical, negative_wins  # noqa: F401
 
 GRAPH = "edges array<struct<source:bigint,target:bigint,weight:double>>"
 STRUCTURE = "intervals array<struct<start:float,end:float>>"
@@ -40,12 +40,14 @@ def read_labelling_json(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_edge_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(source, target, weight) of text lines: comment and MULTICUT lines and lines of fewer than
-    three fields are skipped, further fields ignored, self loops dropped."""
-    line = F.trim(F.col(column))
+    three fields are skipped, further fields ignored, self loops dropped.  White space around a line
+    does not count; a line whose first three fields are not numbers is skipped."""
+    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     parts = F.split(line, "[,#;\\t ]+")
     good = lines.where(~line.rlike("^[#%]") & ~line.startswith("MULTICUT")).select(parts.alias("p")).where(F.size("p") >= 3)
-    rows = good.select(F.col("p")[0].cast("long").alias("source"), F.col("p")[1].cast("long").alias("target"), F.col("p")[2].cast("double").alias("weight"))
-    return rows.where("source <> target")
+    field = lambda i, kind: F.get("p", F.lit(i)).try_cast(kind)
+    rows = good.select(field(0, "long").alias("source"), field(1, "long").alias("target"), field(2, "double").alias("weight"))
+    return rows.where("source <> target and weight is not null")
 
 
 def signed_edges(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -117,10 +119,10 @@ def write_json(row: DataFrame, path: str) -> None:
 
 
 def _write_lines(edges: DataFrame, path: str, head: str, separator: str) -> None:
-    """A first line, then source, target and sign of each edge, in order."""
-    top = edges.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(head).alias("value"))
-    body = edges.select(F.lit(1).alias("o"), F.col("source").alias("a"), F.col("target").alias("b"), F.concat_ws(separator, "source", "target", F.signum("weight").cast("int")).alias("value"))
-    top.union(body).coalesce(1).sortWithinPartitions("o", "a", "b").select("value").write.text(path)
+    """A first line, then source, target and sign of each edge, positive edges first."""
+    top = edges.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(False).alias("n"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(head).alias("value"))
+    body = edges.select(F.lit(1).alias("o"), (F.col("weight") < 0).alias("n"), F.col("source").alias("a"), F.col("target").alias("b"), F.concat_ws(separator, "source", "target", F.signum("weight").cast("int")).alias("value"))
+    top.union(body).coalesce(1).sortWithinPartitions("o", "n", "a", "b").select("value").write.text(path)
 
 
 def write_multicut(edges: DataFrame, path: str) -> None:
@@ -133,9 +135,30 @@ def write_tsv(edges: DataFrame, path: str) -> None:
     _write_lines(edges, path, "# FromNodeId\tToNodeId\tSign", "\t")
 
 
-def anonymise(votes: DataFrame, name: str = "person", drop: tuple[str, ...] = ("Name", "Vorname", "Bezeichnung")) -> DataFrame:
-    """Replace the name by an id, 0.. in name order, and drop other naming columns."""
-    from pyspark.sql import Window
+def read_id_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """Names and ids of persons."""
+    return spark.read.schema("Person string, ID int").csv(path, header=True)
 
-    ids = votes.select(name).distinct().withColumn("person_id", F.row_number().over(Window.orderBy(name)) - 1)
-    return votes.join(ids, name).drop(name, *drop)
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Votes, traces or run summaries as CSV files with a header."""
+    rows.write.option("header", True).csv(path)
+
+
+def run_summary(trace: DataFrame) -> DataFrame:
+    """The last row of each run's trace."""
+    last = trace.groupBy("run_id").agg(F.max_by(F.struct("*"), "epoch").alias("r"))
+    return last.select("r.*")
+
+
+def run_statistics(edges: DataFrame, labels: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row: edges, their weight, labels in use, and the labelling's violations of both kinds."""
+    from ..operators import labels as lb
+
+    one = lb.totals(edges).crossJoin(labels.agg(F.countDistinct("label").alias("n_labels"))).crossJoin(lb.cc_violations(edges, labels).withColumnRenamed("violations", "cc_violations"))
+    return one.crossJoin(lb.agreement(edges, labels, lb.overlap_matrix(intervals)).select("agreement", "disagreement"))
+
+
+def write_synthetic(graphs: DataFrame, path: str) -> None:
+    """Planted graphs of a sweep, one folder for each of their parameters."""
+    graphs.write.partitionBy("n_per_interval", "m_frac", "p").parquet(path)
