@@ -6,6 +6,7 @@ Spark on views and by DuckDB on the same tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,9 +47,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """(vertex, old_label, best_label, affinity, gain) of the co-voting graph."""
     labels = user_labels(spark, d)
     aff = lb.affinity(hour_edges(spark, d), labels, matrix(spark))
-    own = aff.join(labels, ["v", "label"]).select("v", F.col("label").alias("old_label"), F.col("affinity").alias("own"))
-    best = lb.favourite(aff).withColumnRenamed("label", "best_label")
-    return best.join(own, "v").select(F.col("v").alias("vertex"), "old_label", "best_label", "affinity", (F.col("affinity") - F.col("own")).alias("gain"))
+    both = aff.join(labels.withColumnRenamed("label", "old_label"), "v").groupBy("v", "old_label").agg(
+        F.max(F.struct("affinity", (-F.col("label")).alias("l"))).alias("m"), F.max(F.when(F.col("label") == F.col("old_label"), F.col("affinity"))).alias("own")
+    )
+    return both.where("own is not null").select(
+        F.col("v").alias("vertex"), "old_label", (-F.col("m.l")).alias("best_label"), F.col("m.affinity").alias("affinity"), (F.col("m.affinity") - F.col("own")).alias("gain")
+    )
 
 
 # --- oracle fragments -------------------------------------------------------------------------
@@ -73,7 +77,8 @@ DEG = "deg AS (SELECT v, count(*) FILTER (WHERE weight > 0) AS dp, count(*) FILT
 #: Runs and traces made of events: run = user, config = event type, runtime = ms since the month began.
 RUNS = """WITH trace AS (SELECT user_id AS run, event_type AS config, event_id AS id, value AS best,
     CAST({ms} AS BIGINT) AS runtime FROM events) """
-MS = {"spark": "unix_millis(CAST(ts AS TIMESTAMP)) - 1704067200000", "duck": "epoch_ms(ts) - 1704067200000"}
+#: Milliseconds are cut off, not rounded.
+MS = {"spark": "unix_millis(CAST(ts AS TIMESTAMP)) - 1704067200000", "duck": "epoch_us(ts) // 1000 - 1704067200000"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,12 +94,9 @@ def add_sql(name: str, sql: str, *tables: str, duck: str | None = None) -> None:
     """A query in SQL that both engines run; {ms} is the event's millisecond in its month."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return spark.sql(sql.replace("{ms}", MS["spark"]).replace("::DOUBLE", "D"), **{}) if not tables else _bound(spark, d)
-
-    def _bound(spark: SparkSession, d: str) -> DataFrame:
-        for t in tables:
-            table(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(sql.replace("{ms}", MS["spark"]).replace("::DOUBLE", "D"))
+        """The tables go to the statement as parameters, so that no view of the caller's is replaced."""
+        text = re.sub(r"\b(FROM|JOIN) (" + "|".join(tables) + r")\b", r"\1 {\2}", sql.replace("{ms}", MS["spark"]).replace("::DOUBLE", "D"))
+        return spark.sql(text, **{t: table(spark, d, t) for t in tables})
 
     add(name, run, (duck or sql).replace("{ms}", MS["duck"]))
 
@@ -117,7 +119,29 @@ def period_range_join(s: SparkSession, d: str) -> DataFrame:
 
 add("period_range_join", period_range_join,
     f"SELECT period, count(*) AS n FROM events JOIN (VALUES {', '.join(f'({p}::INT, DATE {a!r}, DATE {b!r})' for p, a, b in PERIODS)}) t(period, lo, hi) ON ts::DATE BETWEEN lo AND hi GROUP BY 1")
-add("anonymise_ids", lambda s, d: io.anonymise(table(s, d, "customer").select("c_name", "c_mktsegment"), "c_name").select(F.col("person_id").cast("long").alias("person_id"), "c_mktsegment"),
+VOTE_PERIODS = {p: (a, b) for p, a, b in PERIODS}
+
+
+def event_vote_frame(s: SparkSession, d: str) -> DataFrame:
+    """Votes as files name them: a file for each hour, some without a date, ja and nein."""
+    hour = F.date_trunc("hour", "ts")
+    name = F.when(F.hour("ts") == 5, F.concat(F.lit("undated_"), F.date_format(hour, "yyyyMMddHH"))).otherwise(F.concat(F.date_format(hour, "yyyyMMdd"), F.lit("_"), F.date_format(hour, "HH")))
+    return table(s, d, "events").select(
+        F.concat(name, F.lit(".csv")).alias("filename"), F.lit("x").alias("Name"), F.concat(F.lit("P"), F.format_string("%08d", (F.col("user_id") * 7) % 10007)).alias("Bezeichnung"),
+        F.when(F.col("value") > 50, "ja").otherwise("nein").alias("janein"),
+    )
+
+
+_frame = """f AS (SELECT ts, 'P' || printf('%08d', (user_id * 7) % 10007) AS person, date_trunc('hour', ts) AS ballot, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM events
+    WHERE hour(ts) <> 5 AND (ts::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-06' OR ts::DATE BETWEEN DATE '2024-01-13' AND DATE '2024-01-18')),
+    ids AS (SELECT person, row_number() OVER (ORDER BY person) - 1 AS id FROM (SELECT DISTINCT person FROM f))"""
+add("votes_to_graph", lambda s, d: g.votes_to_graph(event_vote_frame(s, d), [1, 3], 0.75, VOTE_PERIODS)[1].select("source", "target", "support", "weight"),
+    f"""WITH {_frame}, v AS (SELECT id, ballot, avg(x) AS x FROM f JOIN ids USING (person) GROUP BY 1, 2 HAVING avg(x) <> 0),
+    q AS (SELECT a.id AS source, b.id AS target, count(*) AS support, avg(CASE WHEN a.x = b.x THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ratio FROM v a JOIN v b ON a.ballot = b.ballot AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT source, target, support, CASE WHEN ratio > 0.75 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS weight FROM q WHERE ratio > 0.75 OR ratio < 0.25""")
+add("anonymised_votes", lambda s, d: g.anonymise(g.in_periods(event_vote_frame(s, d), [1, 3], VOTE_PERIODS), "Bezeichnung").groupBy("person_id", "janein").agg(F.count("*").alias("n")),
+    f"WITH {_frame} SELECT id AS person_id, CASE WHEN x > 0 THEN 'ja' ELSE 'nein' END AS janein, count(*) AS n FROM f JOIN ids USING (person) GROUP BY 1, 2")
+add("anonymise_ids", lambda s, d: g.anonymise(table(s, d, "customer").select("c_name", "c_mktsegment"), "c_name").select(F.col("person_id").cast("long").alias("person_id"), "c_mktsegment"),
     "SELECT dense_rank() OVER (ORDER BY c_name) - 1 AS person_id, c_mktsegment FROM customer")
 LINES = "concat_ws('{s}', CAST(l_suppkey AS STRING), CAST(l_partkey % 97 AS STRING), CAST(CAST(l_quantity AS INT) - 25 AS STRING), l_returnflag)"
 
@@ -137,6 +161,21 @@ add("conflict_negative_wins", lambda s, d: g.negative_wins(hour_edges(s, d).sele
     f"WITH {HOUR}, {DAY.replace('votes', 'votes2').replace('pairs', 'pairs2').replace('e AS (', 'e2 AS (')}, u AS (SELECT source, target, weight FROM e UNION ALL SELECT source, target, weight FROM e2) SELECT source, target, min(weight) AS weight FROM u GROUP BY 1, 2")
 add("symmetric_closure", lambda s, d: g.closure(hour_edges(s, d)), f"WITH {HOUR} SELECT source AS v, target AS u, weight FROM e UNION SELECT target, source, weight FROM e")
 add("dense_vertex_ids", lambda s, d: g.dense_ids(hour_edges(s, d)).withColumn("vid", F.col("vid").cast("long")), f"WITH {HOUR} SELECT node, row_number() OVER (ORDER BY node) - 1 AS vid FROM (SELECT source AS node FROM e UNION SELECT target FROM e)")
+_ids = "ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS vid FROM (SELECT source AS node FROM e UNION SELECT target FROM e))"
+
+
+def restored_labels(s: SparkSession, d: str) -> DataFrame:
+    ids = g.checkpoint(g.dense_ids(day_edges(s, d)))
+    return g.restore(ids.select(F.col("vid").alias("v"), (F.col("vid") % K).cast("int").alias("label")), ids)
+
+
+def remapped_edges(s: SparkSession, d: str) -> DataFrame:
+    edges = g.checkpoint(day_edges(s, d))
+    return g.remap(edges, g.dense_ids(edges))
+
+
+add("remap_edges", remapped_edges, f"WITH {DAY}, {_ids} SELECT a.vid AS source, b.vid AS target, weight FROM e JOIN ids a ON a.node = source JOIN ids b ON b.node = target")
+add("restore_labels", restored_labels, f"WITH {DAY}, {_ids} SELECT node AS v, (vid % {K})::INT AS label FROM ids")
 add("vertex_edge_counts", lambda s, d: g.vertices(hour_edges(s, d)).agg(F.count("*").alias("n_vertices")).crossJoin(hour_edges(s, d).agg(F.count("*").alias("n_edges"))),
     f"WITH {HOUR} SELECT (SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e)) AS n_vertices, (SELECT count(*) FROM e) AS n_edges")
 add("signed_degree", lambda s, d: g.degrees(day_edges(s, d), user_labels(s, d).select("v")), f"WITH {DAY}, {DEG} SELECT u.v, coalesce(dp, 0) AS dp, coalesce(dm, 0) AS dm FROM (SELECT DISTINCT user_id AS v FROM events) u LEFT JOIN deg USING (v)")
@@ -178,7 +217,7 @@ add("temperature_schedule", lambda s, d: s.range(1, 61).select(F.col("id").alias
 
 
 def sweep_fixed_rounds(s: SparkSession, d: str) -> DataFrame:
-    edges, labels = hour_edges(s, d), user_labels(s, d)
+    edges, labels = g.checkpoint(hour_edges(s, d)), user_labels(s, d)
     for epoch in range(2):
         labels = h.sweep_round(edges, labels, matrix(s), 5, epoch)
     return labels
@@ -219,9 +258,33 @@ add("plus_components", lambda s, d: r.plus_components(day_edges(s, d)), f"""WITH
     reach AS (SELECT v, v AS c FROM n UNION SELECT p.u, reach.c FROM reach JOIN p ON p.v = reach.v) SELECT v, min(c) AS comp FROM reach GROUP BY 1""")
 add("pos_vertex_deletion", lambda s, d: r.drop_positive(day_edges(s, d), g.vertices(day_edges(s, d))), f"WITH {DAY}, {DEG} SELECT v FROM deg WHERE dm > 0")
 add("two_mix_deletion", lambda s, d: r.drop_two_mix(day_edges(s, d), g.vertices(day_edges(s, d))), f"WITH {DAY}, {DEG} SELECT v FROM deg WHERE NOT (dp = 1 AND dm = 1)")
-add("kernel_fixpoint", lambda s, d: r.kernelize(day_edges(s, d)))
+
+
+def _reach_sql(name: str, nodes: str, edges: str) -> str:
+    """CTEs ``{name}`` (v, c): the smallest vertex c reached from v over ``edges`` (source, target) among ``nodes``."""
+    return f"""{name}_b AS (SELECT source AS v, target AS u FROM {edges} UNION SELECT target, source FROM {edges}),
+    {name}_r AS (SELECT v, v AS c FROM {nodes} UNION SELECT b.u, r.c FROM {name}_r r JOIN {name}_b b ON b.v = r.v),
+    {name} AS (SELECT v, min(c) AS c FROM {name}_r GROUP BY 1)"""
+
+
+def _kernel_sql(rounds: int) -> str:
+    """The safe rules, unrolled: CTEs up to ``k{rounds}`` (v, c)."""
+    out = [f"WITH RECURSIVE {DAY}, e0 AS (SELECT source, target, weight FROM e)"]
+    for i in range(1, rounds + 1):
+        old = f"e{i - 1}"
+        out.append(f"""n{i} AS (SELECT source AS v FROM {old} WHERE weight < 0 UNION SELECT target FROM {old} WHERE weight < 0),
+    i{i} AS (SELECT * FROM {old} WHERE source IN (SELECT v FROM n{i}) AND target IN (SELECT v FROM n{i})), p{i} AS (SELECT source, target FROM i{i} WHERE weight > 0)""")
+        out.append(_reach_sql(f"k{i}", f"n{i}", f"p{i}"))
+        out.append(f"e{i} AS (SELECT i.* FROM i{i} i JOIN k{i} a ON a.v = i.source JOIN k{i} b ON b.v = i.target WHERE a.c = b.c)")
+    return ", ".join(out)
+
+
+KERNEL_ROUNDS = 6
+add("kernel_fixpoint", lambda s, d: r.kernelize(day_edges(s, d)), f"{_kernel_sql(KERNEL_ROUNDS)} SELECT v, c AS kernel FROM k{KERNEL_ROUNDS}")
+#: No oracle: tested against a plain version of the rules.
 add("kernel_fixpoint_unsafe", lambda s, d: r.kernelize(day_edges(s, d), unsafe=True))
-add("largest_kernel", lambda s, d: r.largest_kernel(r.kernelize(day_edges(s, d))))
+add("largest_kernel", lambda s, d: r.largest_kernel(r.kernelize(day_edges(s, d))),
+    f"{_kernel_sql(KERNEL_ROUNDS)} SELECT c AS kernel, count(*) AS n FROM k{KERNEL_ROUNDS} GROUP BY 1 ORDER BY n DESC, c LIMIT 1")
 
 
 def _peel_sql(rounds: int) -> str:
@@ -235,8 +298,19 @@ def _peel_sql(rounds: int) -> str:
 add("leaf_peel", lambda s, d: r.leaf_peel(day_edges(s, d)), _peel_sql(8))
 add("max_ratio_vertex", lambda s, d: r.max_ratio_vertex(day_edges(s, d)), f"WITH {DAY}, {DEG} SELECT v, greatest(dp, dm) / (dp + dm) AS ratio, least(dp, dm) AS violated FROM deg ORDER BY ratio DESC, v LIMIT 1")
 add("chicken_rounds", lambda s, d: r.chicken(day_edges(s, d)))
-add("cut_vertices", lambda s, d: r.cut_vertices(day_edges(s, d)))
-add("two_edge_components", lambda s, d: r.two_edge_components(day_edges(s, d)))
+#: What the smallest neighbour of x reaches without x; x cuts if that is not every neighbour.
+_without = """b AS (SELECT source AS v, target AS u FROM e UNION SELECT target, source FROM e), lo AS (SELECT v AS x, min(u) AS v FROM b GROUP BY 1),
+    w AS (SELECT x, v FROM lo UNION SELECT w.x, b.u FROM w JOIN b ON b.v = w.v WHERE b.u <> w.x),
+    cut AS (SELECT DISTINCT b.v AS v FROM b ANTI JOIN w ON w.x = b.v AND w.v = b.u)"""
+add("cut_vertices", lambda s, d: r.cut_vertices(day_edges(s, d)), f"WITH RECURSIVE {DAY}, {_without} SELECT v FROM cut")
+_all = "SELECT source AS v FROM e UNION SELECT target FROM e"
+add("cut_vertex_split", lambda s, d: r.cut_vertex_split(day_edges(s, d)), f"""WITH RECURSIVE {DAY}, {_without}, n AS ({_all}), {_reach_sql('c', 'n', 'e')},
+    x AS (SELECT CASE WHEN (SELECT count(DISTINCT c) FROM c) > 1 THEN (SELECT min(v) FROM n) ELSE (SELECT min(v) FROM cut) END AS v),
+    rest AS (SELECT source, target FROM e WHERE NOT coalesce(source = (SELECT v FROM x) OR target = (SELECT v FROM x), false)), {_reach_sql('q', 'n', 'rest')} SELECT v, c AS part FROM q""")
+#: An edge is a bridge if its ends do not reach each other without it.
+add("two_edge_components", lambda s, d: r.two_edge_components(day_edges(s, d)), f"""WITH RECURSIVE {DAY}, n AS ({_all}), b AS (SELECT source AS v, target AS u FROM e UNION SELECT target, source FROM e),
+    w AS (SELECT source AS s, target AS t, source AS v FROM e UNION SELECT w.s, w.t, b.u FROM w JOIN b ON b.v = w.v WHERE NOT (b.v = w.s AND b.u = w.t) AND NOT (b.v = w.t AND b.u = w.s)),
+    firm AS (SELECT s AS source, t AS target FROM w WHERE v = t), {_reach_sql('q', 'n', 'firm')} SELECT v, c AS comp FROM q""")
 add("relabel_vertices", lambda s, d: r.relabel(g.vertices(day_edges(s, d))).withColumn("new_id", F.col("new_id").cast("long")), f"WITH {DAY} SELECT v, row_number() OVER (ORDER BY v) AS new_id FROM (SELECT source AS v FROM e UNION SELECT target FROM e)")
 
 # --- heuristics, generator ------------------------------------------------------------------------
@@ -279,7 +353,10 @@ add("label_accuracy", label_accuracy, f"""WITH t AS (SELECT (v // {N_PER})::INT
 # --- reporting analytics --------------------------------------------------------------------------
 add_sql("run_stats_pivot", RUNS + """, s AS (SELECT run, config, min(best) AS lo, avg(best) AS mid, stddev_samp(best) AS sd FROM trace GROUP BY run, config)
     SELECT run, max(CASE WHEN config = 'click' THEN lo END) AS min_click, round(max(CASE WHEN config = 'click' THEN mid END), 6) AS mean_click, round(max(CASE WHEN config = 'click' THEN sd END), 6) AS sd_click,
-    max(CASE WHEN config = 'view' THEN lo END) AS min_view, round(max(CASE WHEN config = 'view' THEN mid END), 6) AS mean_view, round(max(CASE WHEN config = 'view' THEN sd END), 6) AS sd_view FROM s GROUP BY run""", "events")
+    max(CASE WHEN config = 'view' THEN lo END) AS min_view, round(max(CASE WHEN config = 'view' THEN mid END), 6) AS mean_view, round(max(CASE WHEN config = 'view' THEN sd END), 6) AS sd_view,
+    max(CASE WHEN config = 'error' THEN lo END) AS min_error, round(max(CASE WHEN config = 'error' THEN mid END), 6) AS mean_error, round(max(CASE WHEN config = 'error' THEN sd END), 6) AS sd_error,
+    max(CASE WHEN config = 'purchase' THEN lo END) AS min_purchase, round(max(CASE WHEN config = 'purchase' THEN mid END), 6) AS mean_purchase, round(max(CASE WHEN config = 'purchase' THEN sd END), 6) AS sd_purchase,
+    max(CASE WHEN config = 'signup' THEN lo END) AS min_signup, round(max(CASE WHEN config = 'signup' THEN mid END), 6) AS mean_signup, round(max(CASE WHEN config = 'signup' THEN sd END), 6) AS sd_signup FROM s GROUP BY run""", "events")
 add_sql("runtime_table", RUNS + """, t AS (SELECT run, config, max(runtime) AS runtime FROM trace GROUP BY run, config)
     SELECT config, round(avg(runtime) / 1000, 3) AS mean_s, round(stddev_samp(runtime) / 1000, 3) AS sd_s, max(runtime) AS max_ms FROM t GROUP BY config""", "events")
 GAPFILL = """, b AS (SELECT run, CAST(ceil(runtime / 86400000.0::DOUBLE) AS BIGINT) AS bucket, best, runtime, id FROM trace),
@@ -289,7 +366,6 @@ GAPFILL = """, b AS (SELECT run, CAST(ceil(runtime / 86400000.0::DOUBLE) AS BIGI
     p AS (SELECT run, bucket, best, count(best) OVER (PARTITION BY run ORDER BY bucket) AS block, min(CASE WHEN best IS NOT NULL THEN bucket END) OVER (PARTITION BY run) AS start FROM j),
     q AS (SELECT run, bucket, coalesce(max(best) OVER (PARTITION BY run, block), max(CASE WHEN bucket = start THEN best END) OVER (PARTITION BY run)) AS filled FROM p)
     SELECT run, bucket, min(filled) OVER (PARTITION BY run ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM q"""
-add_sql("log_bucket_gapfill", RUNS.replace("AS runtime FROM events", "AS runtime FROM events WHERE user_id < 20") + GAPFILL, "events")
 add_sql("log_bucket_gapfill_all", RUNS + GAPFILL, "events")
 add_sql("running_best", RUNS + "SELECT run, id, min(best) OVER (PARTITION BY run ORDER BY runtime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM trace", "events")
 add_sql("epochs_since_improvement", RUNS + """, t AS (SELECT run, id, best, row_number() OVER (PARTITION BY run ORDER BY runtime, id) AS epoch, min(best) OVER (PARTITION BY run ORDER BY runtime, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM trace)
@@ -332,12 +408,25 @@ add("neighbour_attraction", lambda s, d: g.directed(hour_edges(s, d)).join(user_
     f"WITH {HOUR}, {LABELS} SELECT n.v, l.label, sum(weight) AS attraction, sum(abs(weight)) AS edges FROM both_ n JOIN labels_ l ON l.v = n.u GROUP BY 1, 2")
 
 # --- scalar functions -----------------------------------------------------------------------------
-add("party_canonicalise", lambda s, d: table(s, d, "events").select("event_id", text.canonical_party(F.col("event_type")).alias("party")),
-    "SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'TRADE' WHEN event_type IN ('click', 'view') THEN 'BROWSER' ELSE event_type END AS party FROM events")
-add("strip_accents", lambda s, d: table(s, d, "documents").where("lang = 'es'").select("doc_id", text.strip_accents(F.col("text")).alias("plain")),
-    "SELECT doc_id, translate(text, 'áéíóúñÁÉÍÓÚÑçàèêëïîôùûÇÀÈÊËÏÎÔÙÛ', 'aeiounAEIOUNcaeeeiiouuCAEEEIIOUU') AS plain FROM documents WHERE lang = 'es'")
-#: No oracle: translate() would have to list every accent; tested against brute force.
-add("strip_accents_all", lambda s, d: table(s, d, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("plain")))
+#: Names as voters' lists have them, and what they stand for.
+PARTY_NAMES = [
+    ("SPD", "SPD"), (" spd. ", "SPD"), ("Sozialdemokratische Partei Deutschlands", "SPD"), ("CDU", "CDU"), ("Christlich-Demokratische Union", "CDU"), ("csu", "CSU"), ("Christlich Soziale Union", "CSU"),
+    ("CDU/CSU", "CDU/CSU"), ("Union", "CDU/CSU"), ("BÜNDNIS 90/DIE GRÜNEN", "GRÜNE"), ("Bündnis90/ Die Grüne", "GRÜNE"), ("BÜ90/GR", "GRÜNE"), ("grüne", "GRÜNE"), ("Gruene", "GRÜNE"), ("FDP", "FDP"),
+    ("Freie Demokratische Partei", "FDP"), ("DIE LINKE.", "LINKE"), ("Linkspartei.PDS", "LINKE"), ("Linke", "LINKE"), ("AfD", "AFD"), ("Alternative für Deutschland", "AFD"), ("BSW", "BSW"),
+    ("Fraktionslos", "fraktionslos"), ("fraktionslose", "fraktionslos"), ("FDP/DVP", "FDP/DVP"), ("View", "View"), ("SPD und FDP", "SPD und FDP"),
+]
+
+
+def party_names(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n, _ in PARTY_NAMES])
+    return table(s, d, "events").select("event_id", text.canonical_party(F.get(names, F.pmod("event_id", F.lit(len(PARTY_NAMES))).cast("int"))).alias("party"))
+
+
+add("party_canonicalise", party_names, f"SELECT event_id, ([{', '.join(repr(p) for _, p in PARTY_NAMES)}])[(event_id % {len(PARTY_NAMES)}) + 1] AS party FROM events")
+#: The oracle hides the German letters in the private use area while the engine strips accents.
+_hidden = "".join(chr(0xE000 + i) for i in range(len(text.GERMAN)))
+add("strip_accents_all", lambda s, d: table(s, d, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("plain")),
+    f"SELECT doc_id, translate(strip_accents(translate(text, '{text.GERMAN}', '{_hidden}')), '{_hidden}', '{text.GERMAN}') AS plain FROM documents")
 add("extract_links", lambda s, d: io.extract_links(table(s, d, "pages")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages")
 add("run_name_parse", lambda s, d: table(s, d, "part").select("p_partkey", F.split_part("p_brand", F.lit("#"), F.lit(-1)).alias("number"), F.regexp_replace("p_type", "^[A-Z]+ ", "").alias("rest"), F.upper(F.regexp_extract("p_name", "^([a-z]+)", 1)).alias("first"), text.numbers_in(F.col("p_brand"))[0].alias("value")),
     "SELECT p_partkey, split_part(p_brand, '#', -1) AS number, regexp_replace(p_type, '^[A-Z]+ ', '') AS rest, upper(regexp_extract(p_name, '^([a-z]+)', 1)) AS first, try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS DOUBLE) AS value FROM part")
@@ -349,8 +438,78 @@ add("half_even_rounding", lambda s, d: table(s, d, "lineitem").select("l_orderke
     "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS half FROM lineitem")
 add("orientation_table", lambda s, d: s.createDataFrame([(i, j, int(not (i == j or p.index(i) < p.index(j)))) for p in ([2, 0, 1],) for i in p for j in p], "i int, j int, aux int"),
     "WITH p(i, n) AS (VALUES (2::INT, 0), (0, 1), (1, 2)) SELECT a.i AS i, b.i AS j, CASE WHEN a.i = b.i OR a.n < b.n THEN 0 ELSE 1 END::INT AS aux FROM p a, p b")
-add("solution_json", lambda s, d: io.solution_json(user_labels(s, d)))
-add("graph_json", lambda s, d: io.graph_json(day_edges(s, d)))
+add("solution_json", lambda s, d: io.solution_json(user_labels(s, d)),
+    f"SELECT '{{{{' || chr(10) || string_agg('  \"' || v || '\" : ' || label, ',' || chr(10) ORDER BY v::VARCHAR) || chr(10) || '}}}}' AS json FROM (SELECT DISTINCT user_id AS v, user_id % {K} AS label FROM events)".replace("{{", "{").replace("}}", "}"))
+add("graph_json", lambda s, d: io.graph_json(day_edges(s, d)),
+    "WITH " + DAY + """ SELECT '{"edges":[' || string_agg('{"source":' || source || ',"target":' || target || ',"weight":' || CASE WHEN weight > 0 THEN '1.0' ELSE '-1.0' END || '}', ',' ORDER BY weight < 0, source, target) || ']}' AS json FROM e""")
+
+# --- run grid, sweep, reports ---------------------------------------------------------------------
+INSTANCES = ["bitcoinotc", "bundestag", "chess", "elec", "epinions", "slashdot", "wikiconflict", "wikisigned-k2"]
+_values = lambda rows: ", ".join(str(x) for x in rows)
+add("run_grid", lambda s, d: h.run_grid(s, INSTANCES),
+    f"""WITH s(struct, k) AS (VALUES {_values([('intervals', k) for k in h.CHAINS] + [('clusters', k) for k in h.CLUSTERS])}), c(config, initial_temperature, chunks) AS (VALUES {_values((c, t, n) for c, (t, n) in h.CONFIGS.items())}),
+    i(instance) AS (SELECT unnest({INSTANCES}))
+    SELECT instance, struct, k::INT AS k, config, initial_temperature::DOUBLE AS initial_temperature, chunks::INT AS chunks, seed::INT AS seed FROM i, s, c, range(1, 51) r(seed)""")
+
+
+def sweep_disagreement(s: SparkSession, d: str) -> DataFrame:
+    """Edges and the planted labelling's disagreement for each p and m_frac of the generator's sweep."""
+    rows = h.synthetic_sweep(s, lb.chain(K)).groupBy("m_frac", "p").agg(F.count("*").alias("edges"), F.count_if(~F.col("planted")).alias("disagreement"))
+    return rows
+
+
+add("synthetic_sweep", sweep_disagreement, f"""WITH u AS (SELECT {uniform_sql('5', "'keep'", 'x.i', 'y.i')} AS keep, {uniform_sql('5', "'sign'", 'x.i', 'y.i')} AS sign_ FROM range({K * h.SWEEP_N}) x(i) JOIN range({K * h.SWEEP_N}) y(i) ON x.i < y.i),
+    m AS (SELECT unnest({list(h.SWEEP_M)}::DOUBLE[]) AS m_frac), p AS (SELECT unnest({list(h.SWEEP_P)}::DOUBLE[]) AS p)
+    SELECT m_frac, p, count(*) AS edges, count(*) FILTER (WHERE sign_ >= p) AS disagreement FROM u, m, p WHERE keep < m_frac GROUP BY 1, 2""")
+#: Vertices, edges and shown names of the benchmark's graphs.
+DATASETS = {
+    "bitcoinotc": (5881, 21434, "Bitcoin"), "bundestag": (1480, 397497, "Bundestag"), "chess": (7301, 32650, "Chess"), "elec": (7115, 100355, "WikiElec"), "epinions": (131580, 708507, "Epinions"),
+    "slashdot": (138587, 498532, "Slashdot"), "wikiconflict": (116836, 2014053, "WikiConflict"), "wikisigned-k2": (138587, 712337, "WikiSigned"),
+}
+DATASET = "instance string, vertices long, edges long, shown string"
+
+
+def run_report(s: SparkSession, d: str) -> DataFrame:
+    """Runs (from events) with their names taken apart, filtered, joined with their graphs, and summed up."""
+    pick = lambda values, n: F.get(F.array(*[F.lit(x) for x in values]), F.pmod(F.col(n), F.lit(len(values))).cast("int"))
+    runs = table(s, d, "events").select(
+        F.concat(pick(INSTANCES, "event_id"), F.lit("_signed.json")).alias("file"), F.concat_ws(" ", pick(["intervals", "clusters"], "user_id"), pick(["4", "8", "10", "16"], "event_id")).alias("struct"),
+        F.concat(F.lit("config_"), pick(list(h.CONFIGS), "user_id"), F.lit(".json")).alias("config"), F.col("value").alias("best"),
+    )
+    runs = runs.select(
+        F.regexp_replace("file", "_.*", "").alias("instance"), F.split_part("struct", F.lit(" "), F.lit(1)).alias("type"), text.numbers_in(F.col("struct"))[0].cast("int").alias("k"),
+        text.algorithm_name(F.col("config")).alias("algorithm"), text.numbers_in(F.col("config"))[0].cast("int").alias("chunks"), (F.col("best") * 1000).alias("best"),
+    )
+    runs = runs.where("type = 'intervals' and k % 4 = 0 and chunks in (10, 100)")
+    graphs = s.createDataFrame([(n, v, e, shown) for n, (v, e, shown) in DATASETS.items()], DATASET)
+    stats = runs.join(F.broadcast(graphs), "instance").groupBy("shown", "vertices", "edges", "algorithm", "k").agg(F.count("*").alias("runs"), F.avg("best").alias("mean"), F.stddev_samp("best").alias("sd"))
+    place = text.level_of(F.col("algorithm"), ["VENUS", "GAIA"])
+    return stats.select("shown", "vertices", "edges", "algorithm", place.alias("place"), "k", "runs", text.mean_and_sd(F.col("mean"), F.col("sd"), 0).alias("average"))
+
+
+def _pick_sql(values: list[str], n: str) -> str:
+    return f"({list(values)})[({n} % {len(values)}) + 1]"
+
+
+add("run_report", run_report, f"""WITH r AS (SELECT {_pick_sql(INSTANCES, 'event_id')} AS instance, {_pick_sql(['intervals', 'clusters'], 'user_id')} AS type, {_pick_sql(['4', '8', '10', '16'], 'event_id')}::INT AS k,
+    {_pick_sql(list(h.CONFIGS), 'user_id')} AS config, value * 1000 AS best FROM events), g(instance, vertices, edges, shown) AS (VALUES {_values((n, *x) for n, x in DATASETS.items())}),
+    t AS (SELECT shown, vertices::BIGINT AS vertices, edges::BIGINT AS edges, CASE WHEN config LIKE '%gaia%' THEN 'GAIA' ELSE 'VENUS' END AS algorithm, k, count(*) AS runs, avg(best) AS mean, stddev_samp(best) AS sd
+        FROM r JOIN g USING (instance) WHERE type = 'intervals' AND k % 4 = 0 GROUP BY 1, 2, 3, 4, 5)
+    SELECT shown, vertices, edges, algorithm, CASE algorithm WHEN 'VENUS' THEN 0 ELSE 1 END::INT AS place, k, runs, format('{{:,}}', round(mean)::BIGINT) || ' p ' || coalesce(format('{{:,}}', round(sd)::BIGINT), 'NA') AS average FROM t""")
+
+
+def column_order(s: SparkSession, d: str) -> DataFrame:
+    """Parties in the order that puts like columns of the contingency table side by side (five columns)."""
+    rows = QUERIES["column_distance"](s, d).collect()
+    order = h.leaf_order({(x["a"], x["b"]): x["distance"] for x in rows})
+    return s.createDataFrame([(p, i) for i, p in enumerate(order)], "party string, place int")
+
+
+add("column_order", column_order, f"""WITH z AS ({ORACLES['column_distance']}), p AS (SELECT a AS n FROM z UNION SELECT b FROM z),
+    d AS (SELECT a, b, distance FROM z UNION ALL SELECT b, a, distance FROM z),
+    best AS (SELECT a.n AS n1, b.n AS n2, c.n AS n3, x.n AS n4, y.n AS n5, round(d1.distance + d2.distance + d3.distance + d4.distance, 9) AS length FROM p a JOIN p b ON b.n <> a.n JOIN p c ON c.n NOT IN (a.n, b.n) JOIN p x ON x.n NOT IN (a.n, b.n, c.n)
+        JOIN p y ON y.n NOT IN (a.n, b.n, c.n, x.n) JOIN d d1 ON d1.a = a.n AND d1.b = b.n JOIN d d2 ON d2.a = b.n AND d2.b = c.n JOIN d d3 ON d3.a = c.n AND d3.b = x.n JOIN d d4 ON d4.a = x.n AND d4.b = y.n ORDER BY length, n1, n2, n3, n4, n5 LIMIT 1)
+    SELECT unnest([n1, n2, n3, n4, n5]) AS party, unnest([0, 1, 2, 3, 4])::INT AS place FROM best""")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
