@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,26 +209,32 @@ def _kernels(adj: dict[int, dict[int, float]]) -> list[set[int]]:
 
 
 def _peck(adj: dict[int, dict[int, float]]) -> int:
+    """Edges violated by greedy deletion.  Vertices wait in a heap by imbalance (ties to the smaller);
+    entries that a deletion made stale are skipped."""
     violated, todo = 0, [adj]
     while todo:
         graph = todo.pop()
         for part in _kernels(graph):
             own = {v: {u: w for u, w in graph[v].items() if u in part} for v in part}
-            for _ in range(min(1000, len(own) - 1)):
-                ranked = []
-                for v in list(own):
-                    dp = sum(w > 0 for w in own[v].values())
-                    dm = len(own[v]) - dp
-                    if dp + dm:
-                        ranked.append((max(dp, dm) / (dp + dm), -v, min(dp, dm)))
-                    else:
-                        del own[v]
-                if not ranked:
-                    break
-                _, v, cost = max(ranked)
-                violated += cost
-                for u in own.pop(-v):
-                    del own[u][-v]
+            plus = {v: sum(w > 0 for w in own[v].values()) for v in own}
+
+            def imbalance(v: int) -> float:
+                return max(plus[v], len(own[v]) - plus[v]) / len(own[v])  # noqa: B023
+
+            heap = [(-imbalance(v), v) for v in own if own[v]]
+            heapq.heapify(heap)
+            left = min(1000, len(own) - 1)
+            while heap and left:
+                rank, v = heapq.heappop(heap)
+                if v not in own or not own[v] or -rank != imbalance(v):
+                    continue
+                left -= 1
+                violated += min(plus[v], len(own[v]) - plus[v])
+                for u, w in own.pop(v).items():
+                    del own[u][v]
+                    plus[u] -= w > 0
+                    if own[u]:
+                        heapq.heappush(heap, (-imbalance(u), u))
             if own:
                 todo.append(own)
     return violated

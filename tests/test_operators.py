@@ -130,6 +130,28 @@ def test_kernels_by_the_book(spark, unsafe):
         assert {frozenset(x) for x in got.values()} == set(want), edges
 
 
+def test_greedy_deletion_by_the_book(spark):
+    rng, total = random.Random(3), 0
+    for n, m in [(8, 14), (14, 40)]:
+        edges = [(a, b, rng.choice([1.0, 1.0, -1.0])) for a, b in rng.sample([(a, b) for a in range(n) for b in range(a)], m)]
+        want = []
+        for part in _parts({v for e in edges for v in e[:2]}, edges, True):
+            left, cost = [e for e in edges if e[0] in part and e[1] in part], 0
+            while left:
+                signs = {}
+                for a, b, w in left:
+                    for v in (a, b):
+                        signs.setdefault(v, []).append(w > 0)
+                ratio = {v: max(sum(s), len(s) - sum(s)) / len(s) for v, s in signs.items()}
+                v = min(ratio, key=lambda v: (-ratio[v], v))
+                cost += min(sum(signs[v]), len(signs[v]) - sum(signs[v]))
+                left = [e for e in left if v not in e[:2]]
+            want.append((min(part), cost))
+        assert rows_of(r.chicken(spark.createDataFrame(edges, EDGES))) == sorted(want)
+        total += sum(c for _, c in want)
+    assert total > 0
+
+
 def test_cut_vertex_split(spark):
     def parts(pairs):
         got = {}
