@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, small
 
 #: Undetermined: null text or no letter.
 UNDETERMINED = "und"
@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, per_lang: int, max_chars: int, id_col: str, t
     known = known.withColumn("h", F.xxhash64(F.lit(4), "text")).withColumn("over", F.when(n > max_chars, n).otherwise(0))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("over", "h"))
     best = known.select("lang", "over", "h").distinct().withColumn("_place", place).where(F.col("_place") <= per_lang).drop("_place")  # hashes only: few bytes from each task
-    rows = known.join(F.broadcast(best), ["lang", "over", "h"]).groupBy("lang", "over", "h").agg(F.min("text").alias("text")).collect()
+    rows = known.join(small(best), ["lang", "over", "h"]).groupBy("lang", "over", "h").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["over"], r["h"]))]
 
 

@@ -243,8 +243,10 @@ def pack(
     order, bounds = ["_key", "_h", "_id"], []
     if n_parts > 1:
         share = min(1.0, BOUND_ROWS * n_parts / stats["docs"], MOST_BOUND_ROWS / stats["docs"])
-        some = sorted(tuple(r) for r in rows.sample(share, 10).mapInArrow(place, PLACED).select(*order).collect())
-        bounds = [some[len(some) * i // n_parts] for i in range(1, n_parts)] if some else []
+        some = sorted(tuple(r) for r in rows.sample(share, 10).mapInArrow(place, PLACED).select(*order, F.octet_length("ids")).collect())
+        # Quantiles by tokens, as documents differ in length.
+        upto = np.cumsum([x[-1] for x in some])
+        bounds = [some[k][:-1] for k in np.searchsorted(upto, upto[-1] * np.arange(1, n_parts) / n_parts)] if some else []
     placed = rows.mapInArrow(place, PLACED).repartitionById(len(bounds) + 1, "_part").sortWithinPartitions(*order).select("doc_id", "ids", "_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
