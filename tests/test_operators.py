@@ -4,6 +4,7 @@ import json
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,29 @@ def test_a_shared_folder_is_required_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         g.checkpoint(Frame())
+
+
+def test_meetings_make_no_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    votes = spark.createDataFrame([(f"p{p}", b, rng.choice([1.0, -1.0, 0.0])) for b in range(9) for p in range(50) for _ in range(rng.choice([0, 1, 1, 2, 3]))] + [(None, 1, 1.0), ("p1", None, 1.0)], "person string, ballot int, x double")
+    monkeypatch.setattr(g, "BALLOT_BLOCK", 3)
+    monkeypatch.setattr(g, "PERSON_BLOCK", 12, raising=False)
+    monkeypatch.setattr(g, "TILE", 5, raising=False)
+    edges = g.covote_edges(votes)
+    assert "Join" not in edges._jdf.queryExecution().toString()  # no row for each two votes on a ballot
+    x = votes.where("person is not null and ballot is not null").groupBy("person", "ballot").agg(F.avg("x").alias("x")).where("x <> 0")
+    assert rows_of(edges) == rows_of(g._edges_by_ballot(x, 0.75, 3)) and edges.count() > 50
+    for share in (0, 2):  # all columns dense, all sparse
+        monkeypatch.setattr(g, "DENSE_SHARE", share)
+        monkeypatch.setattr(g, "SPARSE_PAIRS", 7)
+        a, b = np.array([3, 3, 1, 9, 9]), np.array([9, 3, 9, 4])
+        at_a, at_b = np.array([0, 1, 1, 0, 2]), np.array([0, 1, 1, 0])
+        assert g._common(a, at_a, 3, b, at_b, 2).tolist() == [[1, 2], [0, 1], [1, 1]]
+
+
+def test_edges_are_not_dealt_for_their_vertices(spark):
+    """Queries on the co-voting graph read it once, or once a round, and exchange only what was summed."""
+    d = "/root/testdata/sf0.01"
+    for name in ("symmetric_closure", "remove_vertices", "graph_totals", "cc_violations", "interval_violations", "interval_agreement", "affinity_matrix", "favorite_label", "gumbel_label", "net_attraction", "neighbour_attraction", "vertex_edge_counts", "flagship_affinity_gain"):
+        plan = registry.QUERIES[name](spark, d)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan.split("FlatMapGroups")[0] and plan.count("FlatMapGroups") == 1, name
