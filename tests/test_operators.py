@@ -260,3 +260,33 @@ def test_edges_are_not_dealt_for_their_vertices(spark):
     for name in ("symmetric_closure", "remove_vertices", "graph_totals", "cc_violations", "interval_violations", "interval_agreement", "affinity_matrix", "favorite_label", "gumbel_label", "net_attraction", "neighbour_attraction", "vertex_edge_counts", "flagship_affinity_gain"):
         plan = registry.QUERIES[name](spark, d)._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" not in plan.split("FlatMapGroups")[0] and plan.count("FlatMapGroups") == 1, name
+
+
+class _Reads:
+    """Counts how often a table's rows are made."""
+
+    def __init__(self, spark, edges):
+        self.rows = spark.sparkContext.accumulator(0)
+        rows = self.rows
+
+        def count(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        self.edges = edges.mapInArrow(count, edges.schema)
+
+
+@pytest.mark.parametrize("run", [r.cut_vertices, r.chicken, lambda e: h.bulk_sweep(e, lb.overlap_matrix(lb.structure(e.sparkSession, lb.chain(3))), 3, epochs=4)[0]])
+def test_edges_are_made_once(spark, run):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, -1.0), (3, 4, 1.0)], EDGES)
+    reads = _Reads(spark, edges)
+    got = rows_of(run(reads.edges))
+    assert reads.rows.value == 4 and got == rows_of(run(edges))
+
+
+def test_sweeps_end_where_no_vertex_gains(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, -1.0)], EDGES)
+    matrix = lb.overlap_matrix(lb.structure(spark, lb.chain(3)))
+    labels, trace = h.bulk_sweep(edges, matrix, 3, epochs=200, patience=100)
+    assert len(trace) < 50 and h.sweep_round(edges, labels, matrix, 5, 0, gains=True).where("gain > 0").isEmpty()
