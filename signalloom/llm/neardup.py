@@ -7,7 +7,8 @@
 3. Lists never emit all their pairs: members meet their list's leader (the most central member
    first), links are verified, and lists that lie in one component are done.  After these
    rounds only lists that still span components compare members across components, and emit the pairs
-   that set sizes and parity bitmaps allow: an exact bound, so no link is lost.
+   that set sizes and parity bitmaps allow: an exact bound, so no link is lost.  A pair that meets in
+   many lists is emitted by the first of them only.
 4. A pair is kept if the union sketch's estimate allows it, and is a link if the full sets say so.
 """
 
@@ -210,6 +211,26 @@ def _verify_batches(percent: int):
     return run
 
 
+def _across(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in ``lists`` (key, node, comp, n), and that sizes and
+    bitmaps (node, w0..) allow, each once: in the first of the lists and bands that both are in."""
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
+    left = materialize(lists.join(bits, "node").withColumns({"before": before, "own": own}), "dup-left")
+    left = left.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    # A long list's members are dealt into blocks, each of which meets all members.
+    long = left.groupBy("key", "band").count().where(F.col("count") > DEAL).select("key", "band", F.ceil(F.col("count") / DEAL).cast("int").alias("blocks"))
+    left = left.join(small(long), ["key", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    right = left.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("deal"), *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "own", "before", *_BITS)))
+    left = left.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in _BITS))
+    most_common = F.least(F.col("n"), F.col("n_b"), F.call_function("shiftright", F.col("n") + F.col("n_b") - apart, F.lit(1)))
+    return left.join(right, ["key", "band", "deal"]).where(
+        (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("band") == F.greatest("own", "own_b"))
+        & (most_common * 100 >= (F.col("n") + F.col("n_b") - most_common) * percent) & ~F.arrays_overlap("before", "before_b")
+    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def duplicate_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id (the largest long where it is null), hash (of the text), n
     (shingles), node (its set), first (the smallest doc_id and hash of its component).
@@ -289,20 +310,7 @@ def duplicate_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text
         absorb(links)
     placed = materialize(located(entries), "dup-placed")
     unresolved = hot_join(placed, open_lists(placed, F.min("node")).select("key"), "key", hot_lists)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    left = unresolved.select("key", "node", "comp", "n").join(sets.select("node", *_BITS), "node")
-    left = materialize(left.withColumn("band", F.explode(F.array(band, band + 1))), "dup-left")
-    # A long list's members are dealt into blocks, each of which meets all members.
-    long = left.groupBy("key", "band").count().where(F.col("count") > DEAL).select("key", "band", F.ceil(F.col("count") / DEAL).cast("int").alias("blocks"))
-    left = left.join(small(long), ["key", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    right = left.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("deal"), *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", *_BITS)))
-    left = left.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    apart = functools.reduce(operator.add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in _BITS))
-    most_common = F.least(F.col("n"), F.col("n_b"), F.call_function("shiftright", F.col("n") + F.col("n_b") - apart, F.lit(1)))
-    cross = left.join(right, ["key", "band", "deal"]).where(
-        (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & (most_common * 100 >= (F.col("n") + F.col("n_b") - most_common) * percent)
-    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    links = verified(cross.distinct())
+    links = verified(_across(unresolved.select("key", "node", "comp", "n"), sets.select("node", *_BITS), percent))
     if not links.isEmpty():
         absorb(links)
 

@@ -225,6 +225,19 @@ def test_many_copies_without_an_id(spark):
     rows = [(None, " ".join(base[:20] + [f"x{i}"] + base[20:])) for i in range(3000)]
     rows = spark.createDataFrame(rows, "doc_id long, text string")
     assert [tuple(x) for x in neardup.near_duplicates(rows).groupBy("component_id", "kept").count().collect()] == [(None, False, 3000)]
+
+
+def test_a_pair_of_many_lists_is_emitted_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes, comps = rng.integers(95, 130, 30), rng.integers(0, 8, 30)
+    lists = [(k, v) for k in range(40) for v in range(30) if rng.random() < 0.4]
+    rows = spark.createDataFrame([(k, v, int(comps[v]), int(sizes[v])) for k, v in lists], "key long, node long, comp long, n long")
+    bits = spark.createDataFrame([(v, *[0] * neardup.BITMAP_WORDS) for v in range(30)], "node long, " + ", ".join(f"{w} long" for w in neardup._BITS))
+    met = {(a, b) for k, a in lists for j, b in lists if j == k and a < b and comps[a] != comps[b] and min(sizes[a], sizes[b]) * 100 >= max(sizes[a], sizes[b]) * 80}
+    for deal in (neardup.DEAL, 3):
+        monkeypatch.setattr(neardup, "DEAL", deal)
+        got = [tuple(x) for x in neardup._across(rows, bits, 80).collect()]
+        assert sorted(got) == sorted(met)
     many, lookup = spark.range(5000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as x"), spark.range(0, 5000, 2).selectExpr("id as k", "id * 2 as y").union(spark.sql("select 1L, 7L"))
     hot = common.hot_keys(many, "k", few=10)
     assert hot == [1]
