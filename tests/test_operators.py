@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,17 @@ def test_meetings_make_no_rows(spark, monkeypatch):
         assert g._common(a, at_a, 3, b, at_b, 2).tolist() == [[1, 2], [0, 1], [1, 1]]
 
 
+def test_a_block_is_packed_tightly():
+    """As many persons, votes and hours as a block of the events has."""
+    rng = np.random.default_rng(3)
+    votes = pa.table({"block": np.zeros(200_000, np.int32), "person": rng.integers(0, 4_096, 200_000) * 7, "ballot": rng.integers(0, 744, 200_000) + (5 << 33), "x": rng.choice([-1.0, 1.0, 1 / 3], 200_000)})
+    packed = g._pack_block(votes)
+    assert sum(len(packed.column(c)[0].as_py()) for c in packed.column_names[2:]) < 1.5 * len(votes)
+    block, persons, ballots, places, xs = g._unpack_block(packed.to_batches()[0], 0)
+    got = sorted(zip(persons.to_numpy()[places].tolist(), ballots.tolist(), xs.tolist()))
+    assert block == 0 and got == sorted(zip(*(votes.column(c).to_pylist() for c in ("person", "ballot", "x"))))
+
+
 def test_edges_are_not_dealt_for_their_vertices(spark):
     """Queries on the co-voting graph read it once, or once a round, and exchange only what was summed."""
     d = "/root/testdata/sf0.01"
