@@ -255,6 +255,33 @@ def test_meetings_make_no_rows(spark, monkeypatch):
         assert g._common(a, at_a, 3, b, at_b, 2).tolist() == [[1, 2], [0, 1], [1, 1]]
 
 
+def test_labelled_sums_make_no_edges(spark, monkeypatch):
+    """Sums by neighbours' labels are those of the edges, with persons without a label, in few and many blocks."""
+    rng = random.Random(4)
+    votes = spark.createDataFrame([(p, b, rng.choice([1.0, -1.0, 1.0])) for b in range(9) for p in range(60) for _ in range(rng.choice([0, 1, 1, 2]))], "person long, ballot int, x double")
+    labels = spark.createDataFrame([(p, None if p % 11 == 3 else p % 5) for p in range(50)], "v long, label int")
+    named = labels.where("label is not null")
+    matrix = lb.overlap_matrix(lb.structure(spark, lb.chain(5)))
+    mapping = spark.createDataFrame([(i, (3 * i) % 5) for i in range(4)], "label int, interval int")
+    edges = g.checkpoint(g.covote_edges(votes))
+    want = rows_of(lb.neighbour_sums(edges, named))
+    assert len(want) > 100 and any(w[3] for w in want)
+    for block, tile in ((4_096, 1_024), (13, 4)):
+        monkeypatch.setattr(g, "PERSON_BLOCK", block)
+        monkeypatch.setattr(g, "TILE", tile)
+        sums = lb.covote_neighbour_sums(votes, labels)
+        plan = sums._jdf.queryExecution().toString()
+        assert "Join" not in plan and "explode" not in plan.split("FlatMapGroups")[0]  # neither edges nor their ends make rows
+        assert rows_of(sums) == want
+        near = g.checkpoint(lb.covote_neighbour_sums(votes, named))
+        assert rows_of(lb.agreement_of(near, named, matrix)) == rows_of(lb.agreement(edges, named, matrix))
+        assert rows_of(lb.interval_violations_of(near, named, lb.structure(spark, lb.chain(5)), mapping)) == rows_of(lb.interval_violations(edges, named, lb.structure(spark, lb.chain(5)), mapping))
+        pairs = lb.label_pairs(near, named).withColumnsRenamed({"plus": "p", "minus": "m"})
+        assert h.map_pairs(pairs, named, lb.chain(5)) == h.map_clusters(edges, named, lb.chain(5))
+    monkeypatch.setattr(g, "SUMMED_LABELS", 4)
+    assert g.covote_sums(votes, named) is None and rows_of(lb.covote_neighbour_sums(votes, named)) == want
+
+
 def test_a_block_is_packed_tightly():
     """As many persons, votes and hours as a block of the events has."""
     rng = np.random.default_rng(3)
