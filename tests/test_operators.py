@@ -282,6 +282,28 @@ def test_labelled_sums_make_no_edges(spark, monkeypatch):
     assert g.covote_sums(votes, named) is None and rows_of(lb.covote_neighbour_sums(votes, named)) == want
 
 
+def test_both_directions_are_written_as_runs(spark, monkeypatch, tmp_path):
+    """The closure has the edges' directions, in few and many blocks, in less than three quarters of the room."""
+    rng = random.Random(6)
+    rows = [(p * 40 + h, p, h, rng.choice([20.0, 80.0, 80.0])) for p in range(300) for h in rng.sample(range(40), 20)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, h int, value double").selectExpr("event_id", "timestamp_seconds(1704067200 + 3600 * h) as ts", "user_id", "'view' as event_type", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    edges = g.checkpoint(registry.hour_edges(spark, str(tmp_path)))
+    want, size = rows_of(g.directed(edges)), {}
+    assert len(want) > 10_000 and {w[2] for w in want} == {1.0, -1.0}
+    closure = registry.QUERIES["symmetric_closure"](spark, str(tmp_path))
+    for name, df in (("closure", closure), ("directed", g.directed(edges))):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "closure"))) == want
+    assert 4 * size["closure"] < 3 * size["directed"]
+    monkeypatch.setattr(g, "PERSON_BLOCK", 70)
+    monkeypatch.setattr(g, "TILE", 9)
+    assert rows_of(registry.QUERIES["symmetric_closure"](spark, str(tmp_path))) == want
+    few = spark.createDataFrame([(p, b, x) for b, x in ((0, 1.0), (1, 1.0), (2, -1.0)) for p in (1, 2)], "person long, ballot int, x double")
+    assert rows_of(g.covote_directed(few)) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
 def test_a_block_is_packed_tightly():
     """As many persons, votes and hours as a block of the events has."""
     rng = np.random.default_rng(3)
