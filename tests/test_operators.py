@@ -351,3 +351,30 @@ def test_sweeps_end_where_no_vertex_gains(spark):
     matrix = lb.overlap_matrix(lb.structure(spark, lb.chain(3)))
     labels, trace = h.bulk_sweep(edges, matrix, 3, epochs=200, patience=100)
     assert len(trace) < 50 and h.sweep_round(edges, labels, matrix, 5, 0, gains=True).where("gain > 0").isEmpty()
+
+
+def test_cut_certificate_keeps_what_every_vertex_cuts(spark, monkeypatch):
+    """Components of the graph and of what is left without any vertex, against all edges; and two edges a vertex at most."""
+    def parts(vs, edges):
+        out = {v: v for v in vs}
+        for _ in vs:
+            for a, b in edges:
+                if a in out and b in out:
+                    out[a] = out[b] = min(out[a], out[b])
+        return out
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(2, 12)
+        pairs = [(a, b) for a in range(n) for b in range(a)]
+        edges = rng.sample(pairs, rng.randint(1, len(pairs)))
+        cuts = [r._certificate(*np.array(x).T) for x in (edges[::2], edges[1::2]) if x]
+        got = set(zip(*(x.tolist() for x in r._certificate(*(np.concatenate(x) for x in zip(*cuts))))))
+        assert len(got) <= 2 * (n - 1) and all(e in edges or e[::-1] in edges for e in got)
+        for x in [None, *range(n)]:
+            assert parts(set(range(n)) - {x}, edges) == parts(set(range(n)) - {x}, got), (edges, x)
+    monkeypatch.setattr(r, "CERTIFY", 600)
+    whole = [(a + k * 50, b + k * 50, 1.0) for k in range(2) for a in range(40) for b in range(a)] + [(39, 50, -1.0)]
+    edges = spark.createDataFrame(whole, EDGES).repartition(7)
+    assert r.cut_certificate(edges).count() < 2 * 80 * 2 < len(whole)
+    assert rows_of(r.cut_vertices(edges)) == [(39,), (50,)]
