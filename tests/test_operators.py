@@ -378,3 +378,28 @@ def test_cut_certificate_keeps_what_every_vertex_cuts(spark, monkeypatch):
     edges = spark.createDataFrame(whole, EDGES).repartition(7)
     assert r.cut_certificate(edges).count() < 2 * 80 * 2 < len(whole)
     assert rows_of(r.cut_vertices(edges)) == [(39,), (50,)]
+
+
+def test_packed_kernels_by_row(monkeypatch):
+    """Neighbours of every vertex, packed in parts and blocks, and the deletions of a graph of several blocks."""
+    monkeypatch.setattr(r, "PACKED", 500)
+    monkeypatch.setattr(r, "ROW_BITS", 4)
+    rng, n = random.Random(9), 300
+    edges = {(a, b): rng.random() < 0.6 for b in range(n) for a in range(b) if rng.random() < 0.1}
+    columns = {"comp": [7] * len(edges), "i": [a for a, _ in edges], "j": [b for _, b in edges], "plus": list(edges.values())}
+    blocks = {}
+    for batch in r._pack_edges(iter(pa.table(columns).to_batches(max_chunksize=200))):
+        for k in range(batch.num_rows):
+            blocks.setdefault(batch.column("block")[k].as_py(), []).append(batch.slice(k, 1))
+    packed = r._Packed(x for k in blocks for x in r._pack_rows(iter(blocks[k])))
+    near = {v: {b if a == v else a: p for (a, b), p in edges.items() if v in (a, b)} for v in range(n)}
+    for v in range(n):
+        assert [packed.row(s, v).tolist() for s in (0, 1)] == [sorted(u for u, p in near[v].items() if p == (s == 0)) for s in (0, 1)]
+    want, left = 0, {v: dict(near[v]) for v in near}
+    while any(not p for x in left.values() for p in x.values()):
+        plus = {v: sum(x.values()) for v, x in left.items() if x}
+        v = min(plus, key=lambda v: (-max(plus[v], len(left[v]) - plus[v]) / len(left[v]), v))
+        want += min(plus[v], len(left[v]) - plus[v])
+        for u in left.pop(v):
+            del left[u][v]
+    assert r._peck(packed) == want
