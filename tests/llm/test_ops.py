@@ -733,3 +733,20 @@ def test_pipeline_stages_on_odd_tables(spark, docs, empty):
             assert got.columns == docs.columns
     assert {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, "").collect()}.isdisjoint({0, 1, 2, 3})
     assert corpus_pipeline.pack_sequences(spark, docs, "").groupBy().sum("length").first()[0] > 30_000
+
+
+def test_sharding_deals_the_texts(spark):
+    """Every row's text arrives in its shard, whole, null or repeated, and a shard's rows lie together by slot."""
+    odd = [(1, None), (1, ""), (None, None), (None, ""), (2, "x" * 70_000), (3, "\u00e4\x00b"), (3, "a"), (4, "a")] + [(5, "same")] * 30
+    docs = spark.createDataFrame(odd + [(i, f"text {i}") for i in range(10, 60)], "doc_id long, text string")
+    dealt = sharding.shuffle_into_shards(docs, n_shards=4, rows_per_block=10)
+    got = dealt.collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(((x["doc_id"], x["text"]) for x in got), key=key) == sorted(map(tuple, docs.collect()), key=key)
+    assert all(x["size"] == 16 + len((x["text"] or "").encode()) and x["text_crc32"] == zlib.crc32((x["text"] or "").encode()) for x in got)
+    assert all(sorted(x["slot"] for x in got if x["shard"] == s) == list(range(22)) for s in range(4))
+    again = sharding.shuffle_into_shards(docs.repartition(5), n_shards=4, rows_per_block=10).collect()
+    place = lambda rows: sorted(((x["shard"], x["slot"], x["doc_id"], x["text"]) for x in rows), key=lambda x: x[:2])
+    assert place(again) == place(got)
+    parts = dealt.rdd.glom().map(lambda p: [(x["shard"], x["slot"]) for x in p]).collect()
+    assert all(p == sorted(p) for p in parts)
