@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -73,13 +74,14 @@ def write_store(
     """
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, seen = encoder(tokenizer_path).encode, end_id.to_bytes(2, "little"), set()
+        encode_all, end, seen = encoder(tokenizer_path).encode_all, end_id.to_bytes(2, "little"), set()
         for batch in batches:
+            encoded = encode_all(batch.column(1))
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
                 sizes, recipes, roots, fresh = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    data = encode(text) + end
+                for data in islice(encoded, part.num_rows):
+                    data += end
                     names, new, at = [], [], 0
                     for stop in cut_points(np.frombuffer(data, "<u2")):
                         chunk = data[2 * at : 2 * stop]

@@ -41,6 +41,35 @@ def test_cached_encoding_is_the_librarys(name):
         assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("group", [1, 300, 1 << 23])
+def test_encoding_many_texts_at_once(name, group, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "GROUP_BYTES", group)
+    monkeypatch.setattr(tokens, "MAX_CACHED", 200)
+    whole, own, rng = Tokenizer.from_file(tokenizer(name)), tokens.CachedEncoder(tokenizer(name)), random.Random(5)
+    pieces = [*" \n\tab.,'1\x1c\x85\xa0\u2003\u3000\u2026×÷Éé\u0301日", " word", "Word,", "\n\n", "\nÉa", "é. ", "'ll", "<|endoftext|>", "a.\u0301", "\r\n", "y" * 300]
+    texts = [None, "", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(400)), "", None]
+    got = list(own.encode_all(pa.array(["before", *texts]).slice(1)))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(own.encode_all(pa.array([], pa.string()))) == [] and list(own.encode_all(pa.array([None, ""]))) == [b"", b""]
+
+
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    own, asked = tokens.CachedEncoder(tokenizer("byte_bpe_50k.json")), []
+    ids = own._ids
+    monkeypatch.setattr(own, "_ids", lambda units: asked.extend(units) or ids(units))
+    text = "One, two one\nOne: naïve?"
+    want = own.encode(text)
+    asked.clear()
+    assert list(own.encode_all(pa.array([text] * 1000))) == [want] * 1000
+    assert sorted(asked) == ["\n", " naïve", " one", " two", ",", ":", "?", "One"]
+
+
 def test_crc_combination():
     a, b = RNG.randbytes(777), RNG.randbytes(1235)
     assert tokens.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
