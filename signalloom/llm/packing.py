@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     with n = -1 for each task, whose ids are the document frequencies of its rows (64-bit, by term)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, df = encoder(path).encode, end_id.to_bytes(2, "little"), np.zeros(1 << 16, "<i8")
+        encode_all, end, df = encoder(path).encode_all, end_id.to_bytes(2, "little"), np.zeros(1 << 16, "<i8")
         names, none = ["doc_id", "n", "ids"], True
         for batch in batches:
+            encoded = encode_all(batch.column(1))
             for a in range(0, batch.num_rows, 256):
-                ids, none = [encode(t) + end for t in batch.column(1).slice(a, 256).to_pylist()], False
+                ids, none = [x + end for x in islice(encoded, 256)], False
                 for x in ids:
                     df[counts_of(np.frombuffer(x, "<u2"))[0]] += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)

@@ -70,6 +70,27 @@ def test_words_of_many_texts_are_looked_up_once(monkeypatch):
     assert sorted(asked) == ["\n", " naïve", " one", " two", ",", ":", "?", "One"]
 
 
+def test_packing_looks_up_each_word_of_a_batch_once(spark, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Table:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    path, asked, ids = tokenizer("byte_bpe_50k.json"), [], tokens.CachedEncoder._ids
+    monkeypatch.setattr(tokens.CachedEncoder, "_ids", lambda self, units: asked.extend(units) or ids(self, units))
+    texts = [None if i % 7 == 3 else f"one two {i % 5}, one" for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])
+    *parts, counted = packing.tokenize(Table(), path, 1)(iter([batch]))
+    rows = [r for part in parts for r in part.to_pylist()]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [1] for t in texts[:35]] * 18
+    assert [(r["doc_id"], r["n"], np.frombuffer(r["ids"], "<u2").tolist()) for r in rows] == [(i, len(x), x) for i, x in enumerate(want[:600])]
+    df = np.frombuffer(counted.column(2)[0].as_py(), "<i8")
+    assert df[1] == 600 and df.sum() == sum(len(set(x)) for x in want[:600])
+    assert len(asked) < 20
+
+
 def test_crc_combination():
     a, b = RNG.randbytes(777), RNG.randbytes(1235)
     assert tokens.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
